@@ -189,8 +189,7 @@ def run_cost(t: Tables):
 
 def _tokenizer(t: Tables) -> str:
     """A word-piece definition from the corpus' 2,000 most frequent tokens."""
-    counts = tfidf.term_stats(tfidf.term_counts(t.texts())).where(~F.col("term").contains(" "))
-    top = counts.orderBy(F.desc("ctf"), "term").limit(2000)
+    top = tfidf.token_frequency(t.texts()).orderBy(F.desc("ctf"), "term").limit(2000)
     return neural.wordpiece_json([r.term for r in top.select("term").collect()])
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelloom.sources.corpus import spread
+
 SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "labels": "doc_id bigint, quality int, toxic int",
@@ -28,7 +30,7 @@ class Tables:
 
     @property
     def documents(self) -> DataFrame:
-        return self.table("documents")
+        return spread(self.table("documents"), "doc_id")
 
     def labelled(self, *extra: str) -> DataFrame:
         """(row_id, text, label in -1/0/1, *extra) for the annotated documents."""

@@ -53,8 +53,8 @@ def char_count(text: Column) -> Column:
 
 
 def class_count(text: Column, char_class: str) -> Column:
-    """Number of characters of ``text`` in a one-character class."""
-    return F.length(text) - F.length(F.regexp_replace(text, F.lit(char_class), F.lit("")))
+    """Number of characters of ``text`` in a one-character class, counted run by run."""
+    return F.length(text) - F.length(F.regexp_replace(text, F.lit(char_class + "+"), F.lit("")))
 
 
 def shorten(text: Column, n: int = settings.PREVIEW_CHARS) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -9,43 +10,59 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelloom import settings
 from labelloom.functions import arrays as ar
 from labelloom.operators import metrics
+from labelloom.session import materialise
 
 
 def class_weights(df: DataFrame) -> DataFrame:
     """(label, n, weight) with weight = rows / (classes * rows of the class)."""
-    from pyspark.sql import Window
     counts = df.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     every = Window.partitionBy(F.lit(0))  # one row per class
     weight = F.sum("n").over(every) / (F.count(F.lit(1)).over(every) * F.col("n")).cast("double")
     return counts.select("label", "n", F.round(weight, 6).alias("weight"))
 
 
-def _balance(df: DataFrame) -> tuple[dict[int, float], int]:
-    counts = {r.label: r.n for r in df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(counts.values())
-    return {c: total / (len(counts) * n) for c, n in counts.items()}, total
+TASK_BYTES = 32 * 1024 * 1024
+
+
+def training_table(df: DataFrame) -> DataFrame:
+    """Store the feature rows and size their partitions by bytes.
+
+    Every iteration sends all coefficients to each task and one gradient back, so many
+    small partitions cost more than they gain. Merging neighbours needs no shuffle; a
+    table large enough for its partition count stays as it is.
+    """
+    stored = materialise(df)
+    stored_values = stored.agg(F.sum(F.size(F.unwrap_udt("features")["indices"]))).first()[0] or 0
+    wanted = max(1, math.ceil(stored_values * 12 / TASK_BYTES))
+    return stored.coalesce(wanted)
 
 
-def fit(df: DataFrame, c: float = 1.0, max_iter: int = settings.MAX_ITER,
-        tol: float = 1e-6) -> LogisticRegressionModel:
-    """Fit on (label, features).
+def class_sizes(df: DataFrame) -> dict[int, int]:
+    return {r.label: r.n for r in df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def fit(df: DataFrame, c: float = 1.0, max_iter: int = settings.MAX_ITER, tol: float = 1e-6,
+        sizes: dict[int, int] | None = None) -> LogisticRegressionModel:
+    """Fit on (label, features); ``sizes`` are the class sizes when they are known already.
 
     The loss is averaged over the weights here, so the inverse regularisation strength
     ``c`` becomes 1 / (c * sum of weights); balanced weights add up to the row count.
     """
-    weights, total = _balance(df)
+    counts = sizes or class_sizes(df)
+    total = sum(counts.values())
+    weights = {label: total / (len(counts) * n) for label, n in counts.items()}
     lookup = F.create_map(*[F.lit(v) for pair in weights.items() for v in pair])
     weighted = df.select("label", "features", F.try_element_at(lookup, F.col("label")).alias("weight"))
     trainer = LogisticRegression(
         family="multinomial", labelCol="label", featuresCol="features", weightCol="weight",
         standardization=False, regParam=1.0 / (c * total), elasticNetParam=0.0,
-        maxIter=max_iter, tol=tol)
+        maxIter=max_iter, tol=tol, aggregationDepth=2 if df.rdd.getNumPartitions() < 2000 else 3)
     return trainer.fit(weighted)
 
 
@@ -84,37 +101,44 @@ class GridResult:
 
 
 def grid_search(df: DataFrame, grid: list[float] | None = None, evaluator: Evaluator | None = None,
-                parallelism: int = 4, max_iter: int = settings.MAX_ITER, tol: float = 1e-6) -> GridResult:
+                parallelism: int = 8, max_iter: int = settings.MAX_ITER, tol: float = 1e-6) -> GridResult:
     """Cross-validated choice of C on (label, fold, features), then a refit on all rows.
 
     Class weights and regularisation follow each training part. The fits are independent
-    Spark jobs on one cached feature table, ``parallelism`` at a time.
+    Spark jobs, ``parallelism`` at a time, over one stored feature table; each caches only
+    the blocks it trains on.
     """
     grid = grid or settings.C_GRID
     judge = evaluator or MacroF1()
     spark = df.sparkSession
-    features = df.select("label", "fold", "features").persist()
-    folds = sorted(r.fold for r in features.select("fold").distinct().collect())  # a handful
+    features = df.select("label", "fold", "features")
+    cells = features.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()  # folds x classes
+    folds = sorted({r.fold for r in cells})
+
+    def sizes_without(fold: int | None) -> dict[int, int]:
+        sizes: dict[int, int] = {}
+        for r in cells:
+            if r.fold != fold:
+                sizes[r.label] = sizes.get(r.label, 0) + r.n
+        return sizes
 
     def score(task: tuple[int, float]) -> tuple[float, int, float]:
         fold, c = task
-        model = fit(features.where(F.col("fold") != fold), c, max_iter, tol)
+        model = fit(features.where(F.col("fold") != fold), c, max_iter, tol, sizes_without(fold))
         return c, fold, judge.evaluate(predict(features.where(F.col("fold") == fold), model))
 
-    tasks = [(f, c) for c in grid for f in folds]
-    try:
-        with ThreadPoolExecutor(parallelism) as pool:
-            scores = list(pool.map(inheritable_thread_target(spark)(score), tasks))
-        rows = spark.createDataFrame(scores, "c double, fold int, macro_f1 double")
-        table = (rows.groupBy("c").agg(F.avg("macro_f1").alias("mean_macro_f1"),
-                                       F.stddev_pop("macro_f1").alias("std_macro_f1"),
-                                       F.count(F.lit(1)).alias("folds")))
-        by_c = {c: [s for g, _, s in scores if g == c] for c in grid}
-        best = max(grid, key=lambda c: sum(by_c[c]) / len(by_c[c]))  # first wins ties
-        table = table.withColumn("is_best", F.col("c") == F.lit(best))
-        return GridResult(table, best, fit(features, best, max_iter, tol))
-    finally:
-        features.unpersist()
+    # The weakest regularisation takes the most iterations, so it is started first.
+    tasks = [(f, c) for c in sorted(grid, reverse=True) for f in folds]
+    with ThreadPoolExecutor(parallelism) as pool:
+        scores = list(pool.map(inheritable_thread_target(spark)(score), tasks))
+    rows = spark.createDataFrame(scores, "c double, fold int, macro_f1 double")
+    table = (rows.groupBy("c").agg(F.avg("macro_f1").alias("mean_macro_f1"),
+                                   F.stddev_pop("macro_f1").alias("std_macro_f1"),
+                                   F.count(F.lit(1)).alias("folds")))
+    by_c = {c: [s for g, _, s in scores if g == c] for c in grid}
+    best = max(grid, key=lambda c: sum(by_c[c]) / len(by_c[c]))  # first wins ties
+    table = table.withColumn("is_best", F.col("c") == F.lit(best))
+    return GridResult(table, best, fit(features, best, max_iter, tol, sizes_without(None)))
 
 
 def save(model: LogisticRegressionModel, path: str) -> None:

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from labelloom import settings
 from labelloom.functions import arrays as ar
 from labelloom.functions import text as tx
-from labelloom.operators import audit, compare, metrics
+from labelloom.operators import audit, compare, metrics, tfidf
 
 SPECIAL_TOKENS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]"]
 
@@ -148,9 +148,8 @@ def _with_dense(df: DataFrame, vectors: Word2VecModel) -> DataFrame:
 def _min_count(df: DataFrame, max_words: int) -> int:
     """Smallest word count that leaves at most ``max_words`` words, which bounds the driver's
     word table in the embedding fit."""
-    words = df.select(F.explode_outer(tx.tokens(F.col("text"))).alias("w")).where(F.col("w").isNotNull())
-    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(max_words + 1)
-    r = top.agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n")).first()
+    top = tfidf.token_frequency(df).orderBy(F.desc("ctf")).limit(max_words + 1)
+    r = top.agg(F.count(F.lit(1)).alias("k"), F.min("ctf").alias("n")).first()
     return int(r.n) + 1 if r.k > max_words else 1
 
 

@@ -46,6 +46,13 @@ def term_counts(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return long.groupBy("row_id", *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def token_frequency(df: DataFrame) -> DataFrame:
+    """(term, ctf) of single tokens, for callers that need no document counts."""
+    long = df.select(F.explode_outer(tx.tokens(F.col("text"))).alias("term"))
+    return (long.where(F.col("term").isNotNull()).groupBy("term")
+                .agg(F.count(F.lit(1)).alias("ctf")))
+
+
 def term_stats(counts: DataFrame) -> DataFrame:
     """(term, ctf, df): corpus and document frequency."""
     return counts.groupBy("term").agg(F.sum("tf").alias("ctf"), F.count(F.lit(1)).alias("df"))

@@ -62,7 +62,7 @@ def run(train: DataFrame, test: DataFrame, models: dict[str, tfidf.Tfidf],
             tr, te = (_restricted(df, base, model) for df in (train, test))
         else:
             tr, te = (tfidf.with_vectors(df, model) for df in (train, test))
-        fitted = linear.fit(materialise(tr.select("label", "features")), c)
+        fitted = linear.fit(linear.training_table(tr.select("label", "features")), c)
         scored = linear.predict(te.select("label", "features"), fitted)
         flat = metrics.flat_metrics(metrics.confusion_record(scored)).first()
         rows.append((name, position, flat.accuracy, flat.macro_f1))

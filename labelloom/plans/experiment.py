@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from labelloom import settings
 from labelloom.operators import cleaning, linear, metrics, split, tfidf
-from labelloom.session import materialise
 
 
 @dataclass
@@ -45,8 +44,8 @@ def halves(split_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def fit_scorer(train: DataFrame, c: float = settings.FIXED_C,
                max_features: int = settings.MAX_FEATURES) -> TextScorer:
     features = tfidf.fit(train, max_features)
-    vectors = materialise(tfidf.with_vectors(train.select("label", "text"), features)
-                          .select("label", "features"))
+    vectors = linear.training_table(tfidf.with_vectors(train.select("label", "text"), features)
+                                    .select("label", "features"))
     return TextScorer(features, linear.fit(vectors, c))
 
 
@@ -55,7 +54,8 @@ def tune_scorer(train: DataFrame, grid: list[float] | None = None, folds: int =
     """Choose C by cross-validation; the features are fitted once on all training rows."""
     features = tfidf.fit(train, max_features)
     folded = split.stratified_folds(train, folds)
-    vectors = materialise(tfidf.with_vectors(folded, features).select("label", "fold", "features"))
+    vectors = linear.training_table(
+        tfidf.with_vectors(folded, features).select("label", "fold", "features"))
     result = linear.grid_search(vectors, grid)
     return TextScorer(features, result.model), result
 

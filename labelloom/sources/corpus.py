@@ -59,6 +59,17 @@ def scan_parquet(spark: SparkSession, path: str, text: str = "Sentences",
     return canonical(spark.read.parquet(path), text, label, index)
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Redistribute a bare table scan by its unique key when it has fewer splits than the
+    cluster has cores, e.g. a file with a single row group.
+
+    Text work costs far more CPU than its shuffle; a large table has more splits than
+    there are cores and is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def write_splits(df: DataFrame, path: str) -> None:
     """Idempotent overwrite; one folder per split so that readers prune partitions."""
     (df.select("row_id", "text", "label", "split")
