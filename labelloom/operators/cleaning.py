@@ -15,12 +15,15 @@ def clean_rows(df: DataFrame, mark_aware: bool = False) -> DataFrame:
 
 def drop_empty(df: DataFrame, seen: Observation | None = None) -> DataFrame:
     """Remove rows whose text is blank. ``seen`` receives rows_in and rows_blank while the
-    job that consumes the result runs, so counting costs no extra pass."""
+    job that consumes the result runs, so counting costs no extra pass.
+
+    The observation also keeps the optimiser from pushing the filter to the scan, where it
+    would run the whole cleaning expression a second time, and ahead of any join.
+    """
     blank = F.trim(F.col("text")) == ""
-    if seen is not None:
-        df = df.observe(seen, F.count(F.lit(1)).alias("rows_in"),
-                        F.count_if(blank).alias("rows_blank"))
-    return df.where(~blank)
+    counted = df.observe(seen or Observation(), F.count(F.lit(1)).alias("rows_in"),
+                         F.count_if(blank).alias("rows_blank"))
+    return counted.where(~blank)
 
 
 def normalize_labels(df: DataFrame, mapping: dict[int, int] | None = None) -> DataFrame:

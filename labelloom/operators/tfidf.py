@@ -9,9 +9,10 @@ by ``max_features`` and lives in a Spark ML ``CountVectorizerModel``.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,6 +92,14 @@ class Tfidf:
     def shippable(self) -> bool:
         return self.n_bytes <= settings.MAX_BROADCAST_BYTES
 
+    @cached_property
+    def counter(self) -> tuple[CountVectorizerModel, Column]:
+        """The term counter and the idf array; at most ``max_features`` rows of checked size."""
+        rows = self.vocab.orderBy("idx").select("term", "idf").collect()
+        counter = CountVectorizerModel.from_vocabulary(
+            [r.term for r in rows], inputCol="_terms", outputCol="_tf")
+        return counter, ar.double_array([r.idf for r in rows])
+
     def select_terms(self, chosen: DataFrame) -> "Tfidf":
         """Keep the terms of ``chosen``; idf stays, columns are renumbered in term order."""
         idx = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term")) - 1
@@ -135,14 +144,11 @@ def transform(df: DataFrame, model: Tfidf) -> DataFrame:
     """
     if not model.shippable:
         return _transform_large(df, model)
-    rows = model.vocab.orderBy("idx").select("term", "idf").collect()  # <= max_features, size checked
-    if not rows:
+    if not model.size:
         return df.withColumn("indices", F.array().cast("array<int>")).withColumn(
             "weights", F.array().cast("array<double>"))
-    counter = CountVectorizerModel.from_vocabulary(
-        [r.term for r in rows], inputCol="_terms", outputCol="_tf")
+    counter, idf = model.counter
     counted = counter.transform(with_terms(df, "_terms")).withColumn("_s", F.unwrap_udt("_tf"))
-    idf = ar.double_array([r.idf for r in rows])
     raw = F.zip_with(F.col("_s.values"), F.col("_s.indices"),
                      lambda tf, i: (1 + F.log(tf)) * F.get(idf, i))
     return (counted.withColumn("indices", F.col("_s.indices")).withColumn("_raw", raw)
