@@ -42,7 +42,7 @@ def term_stats(t: Tables):
 @query("vocabulary", f"WITH {q.PREPARED}, {q.COUNTS}, {q.vocabulary()} SELECT term, idx, ctf, df FROM voc")
 def vocabulary(t: Tables):
     train, _ = _halves(t)
-    stats = tfidf.term_stats(tfidf.term_counts(train))
+    stats = materialise(tfidf.term_stats(tfidf.term_counts(train)))
     return tfidf.vocabulary(stats, train.count()).select("term", "idx", "ctf", "df")
 
 
@@ -189,7 +189,7 @@ def run_cost(t: Tables):
 
 def _tokenizer(t: Tables) -> str:
     """A word-piece definition from the corpus' 2,000 most frequent tokens."""
-    top = tfidf.token_frequency(t.texts()).orderBy(F.desc("ctf"), "term").limit(2000)
+    top = tfidf.most_frequent(materialise(tfidf.token_frequency(t.texts())), 2000)
     return neural.wordpiece_json([r.term for r in top.select("term").collect()])
 
 

@@ -76,6 +76,11 @@ def seeded_key(value: Column, seed: int = settings.SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), value.cast("string")))
 
 
+def percent(share: Column, decimals: int = 1) -> Column:
+    """A share as display text; only for a last projection."""
+    return F.concat(F.format_number(share * 100, decimals), F.lit("%"))
+
+
 def class_name(label: Column) -> Column:
     names = F.array(*[F.lit(n) for n in settings.LABEL_NAMES])
     return F.get(names, label)

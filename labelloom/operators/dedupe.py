@@ -29,7 +29,7 @@ def conflict_texts(df: DataFrame) -> DataFrame:
 
 def conflict_rows(df: DataFrame, hot_rows: int = settings.HOT_GROUP_ROWS) -> DataFrame:
     """Every row of a conflicting text, ordered by text then label."""
-    rows = skew.rows_of_groups(df, conflict_texts(df), ["text"], "n_rows", hot_rows)
+    rows = skew.rows_of_groups(df, conflict_texts(df), ["text"], "n_rows", hot_rows=hot_rows)
     return rows.orderBy("text", "label", "row_id")
 
 
@@ -66,14 +66,14 @@ def repeat_rows(df: DataFrame) -> DataFrame:
 def dup_group_rows(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Every row of a (text, label) pair that occurs more than once, ordered by text.
 
-    The first row of each such pair comes from the aggregate, the others are the repeat
-    rows; together they are the whole groups, without a join on the group key.
+    Group sizes are attached to the first row of each pair only, by its unique id. A row
+    without a size repeats an earlier one, so no join on the possibly hot pair is needed.
     """
     firsts = (df.groupBy("text", "label")
                 .agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("_n")))
-    out = (firsts.where(F.col("_n") > 1).select("row_id", "text", "label")
-           .unionByName(repeat_rows(df).select("row_id", "text", "label"))
-           .orderBy("text", "label", "row_id"))
+    sized = df.join(firsts.select("row_id", "_n"), "row_id", "left")
+    out = (sized.where(F.col("_n").isNull() | (F.col("_n") > 1))
+           .select("row_id", "text", "label").orderBy("text", "label", "row_id"))
     return out if limit is None else out.limit(limit)
 
 

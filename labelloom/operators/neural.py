@@ -27,6 +27,7 @@ from labelloom import settings
 from labelloom.functions import arrays as ar
 from labelloom.functions import text as tx
 from labelloom.operators import audit, compare, metrics, tfidf
+from labelloom.session import materialise
 
 SPECIAL_TOKENS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]"]
 
@@ -148,7 +149,7 @@ def _with_dense(df: DataFrame, vectors: Word2VecModel) -> DataFrame:
 def _min_count(df: DataFrame, max_words: int) -> int:
     """Smallest word count that leaves at most ``max_words`` words, which bounds the driver's
     word table in the embedding fit."""
-    top = tfidf.token_frequency(df).orderBy(F.desc("ctf")).limit(max_words + 1)
+    top = tfidf.most_frequent(materialise(tfidf.token_frequency(df)), max_words + 1)
     r = top.agg(F.count(F.lit(1)).alias("k"), F.min("ctf").alias("n")).first()
     return int(r.n) + 1 if r.k > max_words else 1
 

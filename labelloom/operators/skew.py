@@ -9,8 +9,10 @@ from labelloom import settings
 
 
 def rows_of_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
+                   carry: list[str] | None = None,
                    hot_rows: int = settings.HOT_GROUP_ROWS) -> DataFrame:
-    """Rows whose key occurs in ``groups`` (one row per key, ``size`` = rows of that key).
+    """Rows whose key occurs in ``groups`` (one row per key, ``size`` = rows of that key),
+    with the ``carry`` columns of their group.
 
     A group above ``hot_rows`` is cut into about size / hot_rows salted parts, and its
     one group row is repeated once per part, so that no task holds a whole hot group.
@@ -30,6 +32,7 @@ def rows_of_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: st
     left = salted(rows.withColumn("_digest", digest)).withColumn(
         "_salt", F.pmod(F.xxhash64("row_id"), F.col("_parts")).cast("int"))
     right = salted(groups).select(
-        *keys, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_salt"))
-    match = [left[k].eqNullSafe(right[k]) for k in keys] + [left["_salt"] == right["_salt"]]
-    return left.join(right, match, "left_semi").drop("_digest", "_parts", "_salt")
+        *[F.col(k).alias(f"_g_{k}") for k in keys], *(carry or []),
+        F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_gsalt"))
+    match = [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys] + [F.col("_salt") == F.col("_gsalt")]
+    return left.join(right, match).select(*rows.columns, *(carry or []))

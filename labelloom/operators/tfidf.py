@@ -20,8 +20,12 @@ from labelloom import settings
 from labelloom.functions import arrays as ar
 from labelloom.functions import chars
 from labelloom.functions import text as tx
+from labelloom.operators import skew
 from labelloom.session import materialise
 
+# Rows one task may merge for a top-k.
+MERGE_ROWS = 5_000_000
+
 VOCAB_SCHEMA = T.StructType([
     T.StructField("term", T.StringType()), T.StructField("idx", T.IntegerType()),
     T.StructField("ctf", T.LongType()), T.StructField("df", T.LongType()),
@@ -59,13 +63,31 @@ def term_stats(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.sum("tf").alias("ctf"), F.count(F.lit(1)).alias("df"))
 
 
+def most_frequent(stats: DataFrame, k: int, merge_rows: int = MERGE_ROWS) -> DataFrame:
+    """The ``k`` terms of highest ``ctf``, ties to the lower term.
+
+    A top-k merges k rows of every partition in one task. When that would be too many,
+    terms that cannot qualify are dropped first: counts per power-of-two band of ``ctf``
+    show the lowest band that is still needed. ``stats`` should then be a stored table.
+    """
+    if stats.rdd.getNumPartitions() * k > merge_rows:
+        band = F.floor(F.log2("ctf") * 8)
+        above = Window.partitionBy(F.lit(0)).orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
+        needed = (stats.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"))  # a few hundred bands
+                  .withColumn("_above", F.coalesce(F.sum("n").over(above), F.lit(0)))
+                  .where(F.col("_above") < k).agg(F.min("band")).first()[0])
+        if needed is not None:
+            stats = stats.where(band >= needed)
+    return stats.orderBy(F.desc("ctf"), F.asc("term")).limit(k)
+
+
 def vocabulary(stats: DataFrame, n_docs: int, max_features: int = settings.MAX_FEATURES,
                min_df: int = 1, max_df: float = 1.0) -> DataFrame:
     """The most frequent terms within the document-frequency limits, columns numbered in
     term order. Ties at the cut go to the lower term. The window runs over at most
     ``max_features`` rows, after the limit."""
     allowed = stats.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
-    top = allowed.orderBy(F.desc("ctf"), F.asc("term")).limit(max_features)
+    top = most_frequent(allowed, max_features)
     idx = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term")) - 1
     idf = F.log((1 + F.lit(n_docs)) / (1 + F.col("df")).cast("double")) + 1
     return top.select("term", idx.cast("int").alias("idx"), "ctf", "df", idf.alias("idf"),
@@ -118,21 +140,23 @@ class Tfidf:
 def fit(df: DataFrame, max_features: int = settings.MAX_FEATURES, min_df: int = 1,
         max_df: float = 1.0) -> Tfidf:
     """Fit on training documents only."""
-    stats = term_stats(term_counts(df))
+    stats = materialise(term_stats(term_counts(df)))
     return Tfidf.of(vocabulary(stats, df.count(), max_features, min_df, max_df))
 
 
 def weights_by_join(df: DataFrame, model: Tfidf, keep: list[str] | None = None) -> DataFrame:
     """(row_id, *keep, term, idx, weight) for a vocabulary of any size.
 
-    Only a vocabulary of checked size is broadcast; a larger one is joined on the term.
+    Only a vocabulary of checked size is broadcast; a larger one is joined on the term,
+    with frequent terms salted by their document frequency.
     """
     keep = keep or []
-    vocab = model.vocab.select("term", "idx", "idf")
+    counts = term_counts(df, keep)
     if model.shippable:
-        vocab = F.broadcast(vocab)
-    raw = term_counts(df, keep).join(vocab, "term").withColumn(
-        "_w", (1 + F.log("tf")) * F.col("idf"))
+        found = counts.join(F.broadcast(model.vocab.select("term", "idx", "idf")), "term")
+    else:
+        found = skew.rows_of_groups(counts, model.vocab, ["term"], "df", carry=["idx", "idf"])
+    raw = found.withColumn("_w", (1 + F.log("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("row_id")))
     return raw.select("row_id", *keep, "term", "idx", (F.col("_w") / norm).alias("weight"))
 

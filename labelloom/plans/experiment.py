@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from labelloom import settings
 from labelloom.operators import cleaning, linear, metrics, split, tfidf
+from labelloom.sources import results
 
 
 @dataclass
@@ -60,6 +61,16 @@ def tune_scorer(train: DataFrame, grid: list[float] | None = None, folds: int =
     return TextScorer(features, result.model), result
 
 
+def result_row(name: str, predictions: DataFrame, training_s: float, cost: dict, model_mb: float) -> DataFrame:
+    """One row of the results table: metrics of (label, pred) plus the run's costs, where
+    ``cost`` comes from ``compare.run_cost``."""
+    flat = metrics.flat_metrics(metrics.confusion_record(predictions))
+    return results.as_result_rows(flat.select(
+        F.lit(name).alias("model"), "*", F.lit(training_s).alias("training_time_s"),
+        F.lit(cost["elapsed_s"]).alias("inference_time_s"),
+        F.lit(cost["ms_per_sample"]).alias("inference_ms_per_sample"), F.lit(model_mb).alias("model_size_mb")))
+
+
 def test_metrics(split_rows: DataFrame, c: float = settings.FIXED_C) -> DataFrame:
     """Per-class metrics on the test split of a scorer fitted on the training split."""
     train, test = halves(split_rows)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,10 +39,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into reliable storage and read it from there afterwards.
+    """Compute ``df`` once into a table in the shared folder and read it from there afterwards.
 
-    Used where several jobs read one expensive result. Unlike a cache, a
-    checkpoint outlives the executors that wrote it.
+    Used where several jobs read one expensive result. Unlike a cache the table outlives
+    the executors that wrote it, and unlike a checkpointed row stream its readers prune
+    columns, push filters down and know its size.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
