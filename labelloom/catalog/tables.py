@@ -13,7 +13,7 @@ SCHEMAS = {
     "conversations": "conv_id bigint, turn bigint, role string, text string",
     "pages": "page_id bigint, url string, html string",
     "embeddings": "vec_id bigint, embedding array<float>, label int",
-    "events": "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
 }
 
 
