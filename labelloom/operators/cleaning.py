@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def drop_empty(df: DataFrame, seen: Observation | None = None) -> DataFrame:
     would run the whole cleaning expression a second time, and ahead of any join.
     """
     blank = F.trim(F.col("text")) == ""
-    counted = df.observe(seen or Observation(), F.count(F.lit(1)).alias("rows_in"),
+    counted = df.observe(seen or f"blank-rows-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows_in"),
                          F.count_if(blank).alias("rows_blank"))
     return counted.where(~blank)
 

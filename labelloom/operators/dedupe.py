@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from labelloom import settings
 from labelloom.operators import skew
+from labelloom.session import materialise
 
 
 def dedupe_exact(df: DataFrame) -> DataFrame:
@@ -28,8 +29,12 @@ def conflict_texts(df: DataFrame) -> DataFrame:
 
 
 def conflict_rows(df: DataFrame, hot_rows: int = settings.HOT_GROUP_ROWS) -> DataFrame:
-    """Every row of a conflicting text, ordered by text then label."""
-    rows = skew.rows_of_groups(df, conflict_texts(df), ["text"], "n_rows", hot_rows=hot_rows)
+    """Every row of a conflicting text, ordered by text then label.
+
+    The conflicting texts are stored first: the salted join reads them twice, and the
+    optimiser would otherwise aggregate the corpus once per read.
+    """
+    rows = skew.rows_of_groups(df, materialise(conflict_texts(df)), ["text"], "n_rows", hot_rows=hot_rows)
     return rows.orderBy("text", "label", "row_id")
 
 

@@ -14,6 +14,8 @@ def rows_of_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: st
     """Rows whose key occurs in ``groups`` (one row per key, ``size`` = rows of that key),
     with the ``carry`` columns of their group.
 
+    ``groups`` is read twice and should be a stored table.
+
     A group above ``hot_rows`` is cut into about size / hot_rows salted parts, and its
     one group row is repeated once per part, so that no task holds a whole hot group.
     The list of hot keys is at most total rows / hot_rows eight-byte digests, which is
