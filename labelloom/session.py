@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,13 +28,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A temporary folder is used only when the session names none (tests).
+    Without that setting a session on one machine gets a temporary folder; a cluster, whose
+    executors could not read each other's files there, gets an error.
     """
     active = spark.sparkContext.getCheckpointDir()
     if active is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(
-            configured or tempfile.mkdtemp(prefix="labelloom-"))
+        if configured is None:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+            configured = tempfile.mkdtemp(prefix="labelloom-")
+        spark.sparkContext.setCheckpointDir(configured)
         active = spark.sparkContext.getCheckpointDir()
     return active
 
