@@ -6,7 +6,8 @@ strings of L bytes are equal, so are the ranks at their common cover offset: suf
 have no partner and need no sorting. The others are dealt into buckets by content, and one bucket at a time is sorted by
 the first v and the last v bytes of each string; ties are resolved by the cover ranks, which stand for all bytes between.
 
-Texts are packed once into blocks of about 4 MB, whose numbers are what tasks and answers refer to.
+Texts are packed once into blocks of about 2 MB, whose numbers are what tasks and answers refer to. The blocks are a
+table bucketed by that number, so answers join them without moving them.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from labelloom.llm import arrays, shared
 from labelloom.llm.substrings import intervals, smallest
+from labelloom.session import shared_dir
 
 LENGTH = 200
 PERIOD = 91
@@ -43,6 +45,9 @@ for _a in range(PERIOD):
     for _b in range(PERIOD):
         OFFSET[_a, _b] = next(k for k in range(PERIOD) if IN_COVER[(_a + k) % PERIOD] and IN_COVER[(_b + k) % PERIOD])
 
+#: Bytes of text in a block; a longer text has a block of its own.
+BLOCK_BYTES = 2 << 20
+
 BLOCKS = "block bigint, doc_ids array<bigint>, off binary, data binary"
 RUN = np.dtype([("block", "<i8"), ("at", "<i4"), ("local", "<i4"), ("n", "<i4")])
 
@@ -53,14 +58,20 @@ def covers_below(local: np.ndarray) -> np.ndarray:
 
 
 def pack(docs: DataFrame) -> DataFrame:
-    """The texts as a stored table of compressed blocks."""
+    """The texts as a stored table of compressed blocks, bucketed by block."""
+    spark = docs.sparkSession
+
     def run(batches):
         z = zstandard.ZstdCompressor(3)
-        for rows, buf, off in arrays.chunks(batches):
+        for rows, buf, off in arrays.chunks(batches, limit=BLOCK_BYTES):
             yield pa.RecordBatch.from_arrays([
                 pa.array([uuid.uuid4().int >> 65]), pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                 pa.array([off.astype(np.int64).tobytes()]), pa.array([z.compress(buf.tobytes())])], ["block", "doc_ids", "off", "data"])
-    return shared.materialise(shared.texts(docs).mapInArrow(run, BLOCKS))
+    name = f"text_blocks_{uuid.uuid4().hex}"
+    buckets = shared.partitions(spark, shared.text_bytes(shared.texts(docs)))
+    (shared.texts(docs).mapInArrow(run, BLOCKS).write.bucketBy(buckets, "block").sortBy("block")
+     .option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name))
+    return spark.table(name)
 
 
 def unpack(off: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
