@@ -12,8 +12,7 @@ from labelloom.catalog.tables import Tables
 from labelloom.functions import text as tx
 from labelloom.operators import audit, cleaning, dedupe, split, tfidf
 from labelloom.plans import preprocess
-from labelloom.session import materialise
-from labelloom.sources import artifacts, corpus
+from labelloom.sources import corpus
 
 ANN = q.annotated()
 
@@ -38,13 +37,6 @@ def scan_null_tokens(t: Tables):
     return t.texts().select("row_id", tx.null_tokens_to_null(raw).alias("text"))
 
 
-@query("artifact_size")
-def artifact_size(t: Tables):
-    sizes = artifacts.artifact_sizes(t.spark, t.sf_dir)
-    return sizes.select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes",
-                        F.round(F.col("bytes") / 1048576.0, 6).alias("mb"))
-
-
 @query("clean_text", f"""
 SELECT doc_id AS row_id, {q.clean("CASE WHEN doc_id % 17 = 0 THEN NULL ELSE text END")} AS text FROM documents""")
 def clean_text(t: Tables):
@@ -258,10 +250,6 @@ def length_histogram(t: Tables):
 
 # Splits.
 
-def _annotated_rows(t: Tables):
-    return materialise(preprocess.resolve(t.annotated(4)))
-
-
 _RESOLVED4 = f"{q.annotated(4)}, {q.resolved('ann')}"
 
 
@@ -271,6 +259,20 @@ def preprocess_corpus(t: Tables):
     return preprocess.prepare(t.annotated(4))
 
 
+@query("stage_counts", f"""
+WITH {q.annotated(4)}, cln AS (SELECT {q.clean('text')} AS text, CASE WHEN row_id % 13 > 0 THEN label END AS label FROM ann),
+g AS (SELECT text, count(*) AS n, min(label) AS lo, max(label) AS hi FROM cln GROUP BY text),
+s AS (SELECT sum(n) AS a, sum(n) FILTER (text <> '') AS b, sum(n) FILTER (text <> '' AND lo IS NOT NULL) AS c,
+      sum(n) FILTER (text <> '' AND lo = hi) AS d, count(*) FILTER (text <> '' AND lo = hi) AS e,
+      count(*) FILTER (text <> '' AND lo = hi AND lo IN (-1, 0, 1)) AS f FROM g),
+l AS (SELECT * FROM s, LATERAL (VALUES (0, 'raw', a, a), (1, 'not_blank', b, a), (2, 'labelled', c, b),
+      (3, 'without_conflicts', d, c), (4, 'deduplicated', e, d), (5, 'mapped', f, e)) v(position, stage, x, y))
+SELECT CAST(position AS INTEGER) AS position, stage, CAST(x AS BIGINT) AS n_rows, CAST(y - x AS BIGINT) AS n_lost FROM l""")
+def stage_counts(t: Tables):
+    rows = t.annotated(4).withColumn("label", F.when(F.col("row_id") % 13 > 0, F.col("label")))
+    return preprocess.stage_counts(rows)
+
+
 @query("stratified_split", f"WITH {q.PREPARED} SELECT row_id, CAST(label AS INTEGER) AS label, split FROM sp")
 def stratified_split(t: Tables):
     return preprocess.prepare(t.labelled()).select("row_id", "label", "split")
@@ -286,11 +288,11 @@ def split_balance(t: Tables):
 
 @query("cv_folds", f"""
 WITH {q.PREPARED}, tr AS (SELECT row_id, label, row_number() OVER (PARTITION BY label
-  ORDER BY md5(concat('42|', row_id)), row_id) - 1 AS r, count(*) OVER (PARTITION BY label) AS n
+  ORDER BY md5(concat('42|', text)), row_id) - 1 AS r, count(*) OVER (PARTITION BY label) AS n
   FROM sp WHERE split = 'train')
 SELECT row_id, CAST(label AS INTEGER) AS label, CAST(floor(r * 5 / CAST(n AS DOUBLE)) AS INTEGER) AS fold FROM tr""")
 def cv_folds(t: Tables):
-    train = materialise(preprocess.prepare(t.labelled()).where("split = 'train'").select("row_id", "label"))
+    train = preprocess.prepare(t.labelled()).where("split = 'train'").drop("split")
     return split.stratified_folds(train).select("row_id", "label", "fold")
 
 
@@ -328,6 +330,16 @@ def ngrams(t: Tables):
                         F.md5(F.array_join("g", "|")).alias("digest"))
 
 
+@query("ngrams_wide", f"""
+SELECT doc_id AS row_id, len(g) AS n_terms, md5(array_to_string(g, '|')) AS digest FROM (SELECT doc_id, list_concat(t,
+  list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]),
+  list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) AS g
+  FROM (SELECT doc_id, {q.TOKENS} AS t FROM documents))""")
+def ngrams_wide(t: Tables):
+    terms = tfidf.with_terms(t.texts(), "g", tfidf.Vectorizer(ngram_range=(1, 3)))
+    return terms.select("row_id", F.size("g").cast("long").alias("n_terms"), F.md5(F.array_join("g", "|")).alias("digest"))
+
+
 @query("preview_text", r"""
 SELECT doc_id AS row_id, CASE WHEN length(text) > 100 THEN concat(substr(text, 1, 100), '…') ELSE text END AS shortened,
        replace(substr(text, 1, 60), chr(10), ' ') AS snippet FROM documents""")

@@ -12,6 +12,7 @@ from labelloom.catalog import sqltext as q
 from labelloom.catalog.registry import query
 from labelloom.catalog.tables import Tables
 from labelloom.functions import arrays as ar
+from labelloom.functions import chars
 from labelloom.functions import text as tx
 from labelloom.operators import compare, linear, metrics, neural, selection, split, tfidf
 from labelloom.plans import ablation, experiment, preprocess
@@ -23,7 +24,7 @@ GUARDS = ["the", "not", settings.GUARD_TERM]
 
 def _halves(t: Tables):
     """Train and test rows of the annotated documents, stored once."""
-    return experiment.halves(materialise(preprocess.prepare(t.labelled())))
+    return experiment.halves(preprocess.prepare(t.labelled()))
 
 
 def _scorer(t: Tables):
@@ -35,14 +36,14 @@ def _scorer(t: Tables):
 
 @query("term_stats", f"WITH {q.PREPARED}, {q.COUNTS} SELECT term, ctf, df FROM st")
 def term_stats(t: Tables):
-    train, _ = experiment.halves(preprocess.prepare(t.labelled()))
-    return tfidf.term_stats(tfidf.term_counts(train))
+    train, _ = _halves(t)
+    return tfidf.term_stats(train)
 
 
 @query("vocabulary", f"WITH {q.PREPARED}, {q.COUNTS}, {q.vocabulary()} SELECT term, idx, ctf, df FROM voc")
 def vocabulary(t: Tables):
     train, _ = _halves(t)
-    stats = materialise(tfidf.term_stats(tfidf.term_counts(train)))
+    stats = materialise(tfidf.term_stats(train))
     return tfidf.vocabulary(stats, train.count()).select("term", "idx", "ctf", "df")
 
 
@@ -56,15 +57,32 @@ def tfidf_fit(t: Tables):
 
 @query("tfidf_transform", f"WITH {q.TFIDF} SELECT row_id, split, idx, round(weight, 6) AS weight FROM x")
 def tfidf_transform(t: Tables):
-    rows = materialise(preprocess.prepare(t.labelled()))
+    rows = preprocess.prepare(t.labelled())
     model = tfidf.fit(experiment.halves(rows)[0])
     return tfidf.long_weights(rows, model, ["split"]).withColumn("weight", F.round("weight", 6))
 
 
-@query("tfidf_join", f"WITH {q.TFIDF} SELECT row_id, term, idx, round(weight, 6) AS weight FROM x WHERE split = 'test'")
+@query("tfidf_join", f"WITH {q.TFIDF} SELECT row_id, term, idx, round(weight, 6) AS weight FROM x")
 def tfidf_join(t: Tables):
-    train, test = _halves(t)
-    return tfidf.weights_by_join(test, tfidf.fit(train)).withColumn("weight", F.round("weight", 6))
+    rows = preprocess.prepare(t.labelled())
+    return tfidf.weights_by_join(rows, tfidf.fit(experiment.halves(rows)[0])).withColumn("weight", F.round("weight", 6))
+
+
+_TRIGRAMS = q.COUNTS.replace(q.GRAMS, """list_concat(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]),
+  list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]))""").replace(
+    q.TOKENS, r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')")
+
+
+@query("tfidf_options", f"""
+WITH {q.PREPARED}, {_TRIGRAMS}, {q.vocabulary(size=3000)},
+w AS (SELECT row_id, tc.term, idx, tf * idf AS w FROM tc JOIN voc ON tc.term = voc.term)
+SELECT row_id, idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY row_id)), 6) AS weight FROM w""")
+def tfidf_options(t: Tables):
+    """Runs of two and three plain words, raw counts, 3,000 terms."""
+    rows = preprocess.prepare(t.labelled())
+    how = tfidf.Vectorizer((2, 3), chars.PLAIN_TOKEN, sublinear_tf=False)
+    model = tfidf.fit(experiment.halves(rows)[0], 3000, how=how)
+    return tfidf.long_weights(rows, model).withColumn("weight", F.round("weight", 6))
 
 
 @query("tfidf_density", f"""
@@ -135,6 +153,22 @@ def lr_fit(t: Tables):
         scorer.features.vocab.select("idx", "term"), "idx", "left")
 
 
+@query("lr_mass", f"""
+WITH {q.PREPARED} SELECT CAST(label AS INTEGER) AS label, (SELECT count(*) FROM sp WHERE split = 'train') AS n,
+  round(1 / CAST(3 AS DOUBLE), 2) AS mass FROM sp WHERE split = 'train' GROUP BY label""")
+def lr_mass(t: Tables):
+    """Share of the weighted rows that the fitted model gives each class on its training rows.
+
+    With an unpenalised intercept and balanced weights every class must get the same share.
+    """
+    scorer, train, _ = _scorer(t)
+    weights = linear.class_weights(train).select(F.col("label").alias("l"), "weight")
+    scored = scorer.predict(train).join(F.broadcast(weights), F.col("label") == F.col("l"))  # one row per class
+    sums = [F.sum(F.col("weight") * F.col("probabilities")[c]) for c in range(settings.NUM_CLASSES)]
+    row = scored.agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("m"))
+    return row.select(F.posexplode("m").alias("label", "mass"), "n").select("label", "n", F.round(F.col("mass") / F.col("n"), 2).alias("mass"))
+
+
 @query("lr_predict")
 def lr_predict(t: Tables):
     scorer, _, test = _scorer(t)
@@ -156,7 +190,49 @@ def ablation_scores(t: Tables):
 
 @query("flagship")
 def flagship(t: Tables):
-    return experiment.test_metrics(materialise(preprocess.prepare(t.labelled())))
+    return experiment.test_metrics(preprocess.prepare(t.labelled()))
+
+
+_SUPPORT = f"""
+WITH {q.PREPARED} SELECT CAST(label AS INTEGER) AS label, {q.NAME} AS label_name, count(*) AS support
+FROM sp WHERE split = 'test' GROUP BY label"""
+
+
+@query("flagship_support", _SUPPORT)
+def flagship_support(t: Tables):
+    """The test rows the flagship's metrics stand on."""
+    return flagship(t).select("label", "label_name", "support")
+
+
+@query("sample_predictions", f"""
+WITH {q.PREDICTIONS}, r AS (SELECT y.row_id, text, y.label, pa.pred, y.n_chars,
+  row_number() OVER (PARTITION BY y.label ORDER BY y.row_id) AS position FROM y JOIN pa ON pa.row_id = y.row_id)
+SELECT row_id, CAST(position AS INTEGER) AS position,
+  CASE WHEN length(text) > 100 THEN concat(substr(text, 1, 100), '…') ELSE text END AS text, {q.NAME} AS true_label,
+  {q.NAME.replace('label', 'pred')} AS predicted, pred = label AS correct,
+  round(1 / (1 + n_chars % 7 / CAST(10 AS DOUBLE)), 4) AS confidence FROM r WHERE position <= 3""")
+def sample_predictions(t: Tables):
+    made = t.predictions("a").select("row_id", "pred", (1 / (1 + F.col("n_chars") % 7 / F.lit(10.0))).alias("confidence"))
+    return experiment.sample_predictions(t.truth().select("row_id", "text", "label").join(made, "row_id"))
+
+
+_COVERED = """SELECT conv_id, turn, count(*) AS n, CAST(1 AS DOUBLE) AS total FROM conversations GROUP BY conv_id, turn"""
+
+
+def _covered(scored):
+    total = sum((F.col(f"prob_{n}") for n in settings.LABEL_NAMES), F.lit(0.0))
+    return scored.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(total), 6).alias("total"))
+
+
+@query("score_coverage", _COVERED)
+def score_coverage(t: Tables):
+    """Every conversation turn is scored once, with probabilities that add up to one."""
+    return _covered(score_new_text(t))
+
+
+@query("stream_coverage", _COVERED)
+def stream_coverage(t: Tables):
+    return _covered(stream_score(t))
 
 
 @query("score_new_text")
@@ -185,23 +261,12 @@ def run_cost(t: Tables):
     return t.spark.createDataFrame([cost], "model string, rows bigint, elapsed_s double, ms_per_sample double")
 
 
-# Subwords and neural scoring.
-
-def _tokenizer(t: Tables) -> str:
-    """A word-piece definition from the corpus' 2,000 most frequent tokens."""
-    top = tfidf.most_frequent(materialise(tfidf.token_frequency(t.texts())), 2000)
-    return neural.wordpiece_json([r.term for r in top.select("term").collect()])
-
+@query("run_cost_rows", f"WITH {q.PREPARED} SELECT 'linear' AS model, count(*) AS rows FROM sp WHERE split = 'test'")
+def run_cost_rows(t: Tables):
+    return run_cost(t).select("model", "rows")
 
-@query("subword_length_stats")
-def subword_length_stats(t: Tables):
-    return neural.length_stats(neural.subword_lengths(t.texts(), _tokenizer(t)), "documents")
-
-
-@query("subword_encode")
-def subword_encode(t: Tables):
-    return neural.subword_encode(t.texts(), _tokenizer(t))
 
+# Neural scoring.
 
 _CENTROIDS = """ex AS (SELECT vec_id, label, CAST(i AS INTEGER) AS i, CAST(embedding[i] AS DOUBLE) AS e
        FROM embeddings, range(1, 65) r(i)),
@@ -222,38 +287,54 @@ def batch_score(t: Tables):
     return scored.select("vec_id", "pred", F.round("confidence", 6).alias("confidence"))
 
 
+def _dense(t: Tables):
+    train, test = _halves(t)
+    parts = split.stratified_split(train, share=0.2, seed=7)
+    fit_rows, valid = experiment.halves(parts)
+    return neural.fit_dense(fit_rows, valid), train, test
+
+
 @query("dense_classifier")
 def dense_classifier(t: Tables):
     """Per-class metrics of the dense classifier; its training length is chosen on a validation
     part taken from the training split."""
-    train, test = _halves(t)
-    parts = split.stratified_split(train, share=0.2, seed=7)
-    fit_rows, valid = experiment.halves(materialise(parts))
-    model = neural.fit_dense(fit_rows, valid)
-    scored = neural.predict_dense(test, model)
-    return metrics.metrics_per_class(metrics.confusion_record(scored))
+    model, _, test = _dense(t)
+    return metrics.metrics_per_class(metrics.confusion_record(neural.predict_dense(test, model)))
+
+
+@query("dense_support", _SUPPORT)
+def dense_support(t: Tables):
+    return dense_classifier(t).select("label", "label_name", "support")
 
 
-_LOGITS = """l AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b,
-                CAST(embedding[3] AS DOUBLE) AS c FROM embeddings)"""
+@query("fitted_comparison")
+def fitted_comparison(t: Tables):
+    """The linear and the dense classifier on one test split, with measured scoring costs."""
+    dense, train, test = _dense(t)
+    linear_model = experiment.fit_scorer(train)
+    runs = {"linear": lambda: linear_model.predict(test), "dense": lambda: neural.predict_dense(test, dense)}
+    costs = {name: compare.run_cost(name, run) for name, run in runs.items()}
+    return experiment.compare_fitted({name: run() for name, run in runs.items()}, costs)
+
+
+_LOGITS = """l AS (SELECT vec_id, i - 1 AS k, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 65) r(i))"""
 
 
 def _logits(t: Tables):
-    return t.table("embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 3).alias("l"))
+    return t.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("l"))
 
 
 @query("softmax", f"""
-WITH {_LOGITS}, m AS (SELECT *, greatest(a, b, c) AS x FROM l),
-e AS (SELECT vec_id, exp(a - x) AS a, exp(b - x) AS b, exp(c - x) AS c FROM m)
-SELECT vec_id, round(a / (a + b + c), 6) AS p0, round(b / (a + b + c), 6) AS p1, round(c / (a + b + c), 6) AS p2 FROM e""")
+WITH {_LOGITS}, m AS (SELECT *, exp(x - max(x) OVER (PARTITION BY vec_id)) AS e FROM l)
+SELECT vec_id, CAST(k AS INTEGER) AS k, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS p FROM m""")
 def softmax(t: Tables):
-    p = _logits(t).select("vec_id", ar.softmax(F.col("l")).alias("p"))
-    return p.select("vec_id", *[F.round(F.col("p")[i], 6).alias(f"p{i}") for i in range(3)])
+    p = _logits(t).select("vec_id", F.posexplode(ar.softmax(F.col("l"))).alias("k", "p"))
+    return p.select("vec_id", "k", F.round("p", 6).alias("p"))
 
 
 @query("argmax_class", f"""
-WITH {_LOGITS} SELECT vec_id, CAST(CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS INTEGER) AS pred
-FROM l""")
+WITH {_LOGITS} SELECT vec_id, CAST(k AS INTEGER) AS pred FROM l
+QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, k) = 1""")
 def argmax_class(t: Tables):
     return _logits(t).select("vec_id", ar.argmax(F.col("l")).alias("pred"))
 
@@ -275,6 +356,24 @@ def pad_mask(t: Tables):
 
 # Metrics.
 
+@query("metrics_all_rows", f"""
+WITH {q.LABELLED}, y AS (SELECT row_id % 10 AS label, CASE WHEN n_chars % 6 = 0 THEN NULL WHEN n_chars % 6 = 1 THEN 77
+       WHEN n_chars % 6 = 2 THEN (row_id + 1) % 10 ELSE row_id % 10 END AS pred FROM lab),
+c AS (SELECT r AS label FROM range(10) t(r)),
+s AS (SELECT c.label, count(*) FILTER (y.label = c.label) AS act, count(*) FILTER (y.pred = c.label) AS prd,
+      count(*) FILTER (y.label = c.label AND y.pred = c.label) AS tp FROM c, y GROUP BY c.label),
+p AS (SELECT coalesce(tp / nullif(CAST(prd AS DOUBLE), 0), 0) AS pr, coalesce(tp / nullif(CAST(act AS DOUBLE), 0), 0) AS re,
+      coalesce(2 * tp / nullif(CAST(prd + act AS DOUBLE), 0), 0) AS f, act, tp FROM s)
+SELECT round(sum(tp) / CAST((SELECT count(*) FROM y) AS DOUBLE), 6) AS accuracy, round(avg(pr), 6) AS macro_precision,
+  round(avg(re), 6) AS macro_recall, round(avg(f), 6) AS macro_f1, round(sum(f * act) / CAST(sum(act) AS DOUBLE), 6) AS weighted_f1 FROM p""")
+def metrics_all_rows(t: Tables):
+    """Ten classes, with missing predictions and predictions that are no class."""
+    m, label = F.col("n_chars") % 6, F.col("row_id") % 10
+    rows = t.labelled("n_chars").select(label.alias("label"), F.when(m == 0, None).when(m == 1, 77).when(
+        m == 2, (F.col("row_id") + 1) % 10).otherwise(label).alias("pred"))
+    return metrics.metrics_overall(metrics.confusion_record(rows, classes=10))
+
+
 @query("confusion_matrix", f"""
 WITH {q.METRICS} SELECT model, label, pred, n FROM cm""")
 def confusion_matrix(t: Tables):

@@ -38,7 +38,7 @@ tot AS (SELECT sum(c) AS n, ceil(sum(c) * 0.2) AS nt FROM cnt),
 q0 AS (SELECT label, c, nt, c * nt / CAST(n AS DOUBLE) AS ideal FROM cnt, tot),
 q AS (SELECT label, c, floor(ideal) + CASE WHEN row_number() OVER (ORDER BY ideal - floor(ideal) DESC, label)
              <= nt - sum(floor(ideal)) OVER () THEN 1 ELSE 0 END AS k FROM q0),
-rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42|', row_id)), row_id) AS r FROM u),
+rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42|', text)), row_id) AS r FROM u),
 sp AS (SELECT rk.row_id, rk.text, rk.label, CASE WHEN r <= k THEN 'test' ELSE 'train' END AS split
        FROM rk JOIN q ON rk.label = q.label)"""
 

@@ -31,16 +31,20 @@ def tokens(text: Column, pattern: str = chars.TOKEN) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
 
 
-def bigrams(toks: Column) -> Column:
-    """Neighbouring pairs. Zipping two slices keeps this linear: an index lookup inside
-    a lambda makes the optimiser re-evaluate the token array for every element."""
-    n = F.greatest(F.size(toks) - 1, F.lit(0))
-    return F.zip_with(F.slice(toks, F.lit(1), n), F.slice(toks, F.lit(2), n),
-                      lambda a, b: F.concat(a, F.lit(" "), b))
+def ngrams(toks: Column, least: int = 1, most: int = 2) -> Column:
+    """All runs of ``least`` to ``most`` neighbouring tokens, shorter runs first.
 
-
-def ngrams(toks: Column) -> Column:
-    return F.concat(toks, bigrams(toks))
+    Zipping slices keeps this linear: an index lookup inside a lambda makes the optimiser
+    re-evaluate the token array for every element.
+    """
+    grams, runs = [], toks
+    for n in range(1, most + 1):
+        if n > 1:
+            rest = F.greatest(F.size(runs) - 1, F.lit(0))
+            runs = F.zip_with(F.slice(runs, F.lit(1), rest), F.slice(toks, F.lit(n), rest), lambda a, b: F.concat(a, F.lit(" "), b))
+        if n >= least:
+            grams.append(runs)
+    return F.concat(*grams)
 
 
 def words(text: Column) -> Column:
@@ -76,11 +80,6 @@ def seeded_key(value: Column, seed: int = settings.SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), value.cast("string")))
 
 
-def percent(share: Column, decimals: int = 1) -> Column:
-    """A share as display text; only for a last projection."""
-    return F.concat(F.format_number(share * 100, decimals), F.lit("%"))
-
-
 def class_name(label: Column) -> Column:
     names = F.array(*[F.lit(n) for n in settings.LABEL_NAMES])
     return F.get(names, label)

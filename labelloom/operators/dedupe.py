@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom import settings
+from labelloom.functions import text as tx
 from labelloom.operators import skew
 from labelloom.session import materialise
 
@@ -62,28 +63,36 @@ def resolve_duplicates(df: DataFrame) -> DataFrame:
 def repeat_rows(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier (text, label) pair.
 
-    A window over the pair would put a hot group into one task; the anti join runs on
-    the unique row id instead.
+    Digests are aggregated, not texts; only pairs that occur twice go on, and their rows are
+    found by a join that splits large groups.
     """
-    return df.join(dedupe_exact(df).select("row_id"), "row_id", "left_anti")
+    return _in_groups(df).where(F.col("row_id") != F.col("first")).select(*df.columns)
 
 
 def dup_group_rows(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Every row of a (text, label) pair that occurs more than once, ordered by text.
 
-    Group sizes are attached to the first row of each pair only, by its unique id. A row
-    without a size repeats an earlier one, so no join on the possibly hot pair is needed.
+    See :func:`repeat_rows` for how the rows are found.
     """
-    firsts = (df.groupBy("text", "label")
-                .agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("_n")))
-    sized = df.join(firsts.select("row_id", "_n"), "row_id", "left")
-    out = (sized.where(F.col("_n").isNull() | (F.col("_n") > 1))
-           .select("row_id", "text", "label").orderBy("text", "label", "row_id"))
+    out = _in_groups(df).select("row_id", "text", "label").orderBy("text", "label", "row_id")
     return out if limit is None else out.limit(limit)
 
 
+def _in_groups(df: DataFrame) -> DataFrame:
+    """Rows of the (text, label) pairs that occur more than once, with the pair's ``first`` row id.
+
+    A 32-byte digest of the text stands for it: no two texts are known to share one.
+    """
+    keyed = df.withColumn("_key", tx.text_key(F.coalesce("text", F.lit("")))).withColumn("_null", F.col("text").isNull())
+    groups = (keyed.groupBy("_key", "_null", "label").agg(F.min("row_id").alias("first"), F.count(F.lit(1)).alias("n"))
+              .where(F.col("n") > 1))
+    return skew.rows_of_groups(keyed, materialise(groups), ["_key", "_null", "label"], "n", carry=["first"])
+
+
 def samples_per_class(df: DataFrame, k: int = 10) -> DataFrame:
-    """First ``k`` rows of each label; each task keeps only its own first ``k`` per label."""
+    """First ``k`` rows of each label. Ids and labels alone are ranked, each task keeping its
+    own first ``k`` per label; the rows are fetched by id."""
     order = Window.partitionBy("label").orderBy("row_id")
-    return (df.where(F.col("label").isNotNull())
-              .withColumn("position", F.row_number().over(order)).where(F.col("position") <= k))
+    ranked = (df.select("row_id", "label").where(F.col("label").isNotNull())
+                .withColumn("position", F.row_number().over(order)).where(F.col("position") <= k))
+    return df.join(ranked.select("row_id", "position"), "row_id").select(*df.columns, "position")

@@ -28,6 +28,10 @@ def class_weights(df: DataFrame) -> DataFrame:
 
 
 TASK_BYTES = 32 * 1024 * 1024
+# Executor storage that the fits of one search may take together.
+CACHE_BYTES = 1024 * 1024 * 1024
+# Relative change of the loss at which a fit of the search ends.
+SEARCH_TOL = 1e-4
 
 
 def training_table(df: DataFrame) -> DataFrame:
@@ -62,7 +66,7 @@ def fit(df: DataFrame, c: float = 1.0, max_iter: int = settings.MAX_ITER, tol: f
     trainer = LogisticRegression(
         family="multinomial", labelCol="label", featuresCol="features", weightCol="weight",
         standardization=False, regParam=1.0 / (c * total), elasticNetParam=0.0,
-        maxIter=max_iter, tol=tol, aggregationDepth=2 if df.rdd.getNumPartitions() < 2000 else 3)
+        maxIter=max_iter, tol=tol, aggregationDepth=2)
     return trainer.fit(weighted)
 
 
@@ -100,18 +104,28 @@ class GridResult:
     model: LogisticRegressionModel
 
 
+def fits_at_once(df: DataFrame, cache_bytes: int = CACHE_BYTES, most: int = 8) -> int:
+    """How many copies of the feature rows fit into ``cache_bytes``: at least one, ``most`` at most."""
+    values = df.agg(F.sum(F.size(F.unwrap_udt("features")["indices"]))).first()[0] or 0
+    return int(max(1, min(most, cache_bytes // max(1, values * 12))))
+
+
 def grid_search(df: DataFrame, grid: list[float] | None = None, evaluator: Evaluator | None = None,
-                parallelism: int = 8, max_iter: int = settings.MAX_ITER, tol: float = 1e-6) -> GridResult:
+                parallelism: int | None = None, max_iter: int = settings.MAX_ITER,
+                tol: float = 1e-6, search_tol: float = SEARCH_TOL) -> GridResult:
     """Cross-validated choice of C on (label, fold, features), then a refit on all rows.
 
     Class weights and regularisation follow each training part. The fits are independent
-    Spark jobs, ``parallelism`` at a time, over one stored feature table; each caches only
-    the blocks it trains on.
+    Spark jobs over one stored feature table; each caches the blocks it trains on, so
+    ``parallelism`` defaults to the number of copies that CACHE_BYTES hold. The search stops
+    a fit at ``search_tol``, which is enough to rank models by their predictions; the refit
+    goes on to ``tol``.
     """
     grid = grid or settings.C_GRID
     judge = evaluator or MacroF1()
     spark = df.sparkSession
     features = df.select("label", "fold", "features")
+    parallelism = parallelism or fits_at_once(features)
     cells = features.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()  # folds x classes
     folds = sorted({r.fold for r in cells})
 
@@ -124,7 +138,7 @@ def grid_search(df: DataFrame, grid: list[float] | None = None, evaluator: Evalu
 
     def score(task: tuple[int, float]) -> tuple[float, int, float]:
         fold, c = task
-        model = fit(features.where(F.col("fold") != fold), c, max_iter, tol, sizes_without(fold))
+        model = fit(features.where(F.col("fold") != fold), c, max_iter, search_tol, sizes_without(fold))
         return c, fold, judge.evaluate(predict(features.where(F.col("fold") == fold), model))
 
     # The weakest regularisation takes the most iterations, so it is started first.

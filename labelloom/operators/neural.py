@@ -1,25 +1,22 @@
-"""Subword encoding, batch scoring with a plugged-in model, and a dense second classifier.
+"""Batch scoring with a plugged-in model, and a dense second classifier.
 
-Python runs only as small per-batch helpers inside Spark tasks: the tokenizer call and
-the forward pass. Lengths, padding, arg-max and metrics stay column expressions.
+Python runs only as the forward pass per batch inside Spark tasks. Lengths, padding, arg-max
+and metrics stay column expressions.
 """
 
 from __future__ import annotations
 
-import json
-import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import (
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
 )
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,66 +26,7 @@ from labelloom.functions import text as tx
 from labelloom.operators import audit, compare, metrics, tfidf
 from labelloom.session import materialise
 
-SPECIAL_TOKENS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]"]
-
-
-def wordpiece_json(terms: list[str]) -> str:
-    """Tokenizer definition over a bounded list of whole words and their characters."""
-    letters = sorted({c for t in terms for c in t})
-    entries = [*SPECIAL_TOKENS, *letters, *[f"##{c}" for c in letters], *terms]
-    vocab = {e: i for i, e in enumerate(dict.fromkeys(entries))}
-    return json.dumps({
-        "version": "1.0", "truncation": None, "padding": None, "added_tokens": [],
-        "normalizer": {"type": "Lowercase"},
-        "pre_tokenizer": {"type": "BertPreTokenizer"},
-        "post_processor": {"type": "BertProcessing", "sep": ["[SEP]", vocab["[SEP]"]],
-                           "cls": ["[CLS]", vocab["[CLS]"]]},
-        "decoder": None,
-        "model": {"type": "WordPiece", "unk_token": "[UNK]", "continuing_subword_prefix": "##",
-                  "max_input_chars_per_word": 100, "vocab": vocab},
-    })
-
-
-def _encode(df: DataFrame, tokenizer_json: str, keep: list[str], max_length: int | None) -> DataFrame:
-    """(*keep, ids): subword ids with special tokens, cut to ``max_length`` when given."""
-    kept = [f for f in df.schema if f.name in keep]
-    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task belongs to Spark
-        from tokenizers import Tokenizer
-        tokenizer = Tokenizer.from_str(tokenizer_json)
-        tokenizer.no_padding()
-        if max_length is None:
-            tokenizer.no_truncation()
-        else:
-            tokenizer.enable_truncation(max_length)
-        for batch in batches:
-            encoded = tokenizer.encode_batch(batch["_text"].tolist())
-            yield batch[keep].assign(ids=[e.ids for e in encoded])
-
-    text = F.coalesce(F.col("text"), F.lit("")).alias("_text")
-    return df.select(*keep, text).mapInPandas(run, schema)
-
-
-def subword_lengths(df: DataFrame, tokenizer_json: str, keep: list[str] | None = None) -> DataFrame:
-    """(*keep, n_subwords), special tokens included, nothing cut off."""
-    keep = keep or ["row_id"]
-    return (_encode(df, tokenizer_json, keep, None)
-            .select(*keep, F.size("ids").alias("n_subwords")))
-
-
-def subword_encode(df: DataFrame, tokenizer_json: str, max_length: int = settings.MAX_LENGTH,
-                   keep: list[str] | None = None) -> DataFrame:
-    """(*keep, input_ids, attention_mask), both of ``max_length``."""
-    keep = keep or ["row_id"]
-    ids = F.col("ids")
-    return (_encode(df, tokenizer_json, keep, max_length)
-            .select(*keep, ar.pad(ids, max_length).alias("input_ids"),
-                    ar.attention_mask(ids, max_length).alias("attention_mask")))
-
-
-def length_stats(lengths: DataFrame, dataset: str, column: str = "n_subwords") -> DataFrame:
+def length_stats(lengths: DataFrame, dataset: str, column: str) -> DataFrame:
     """The eleven-column summary of a length column."""
     counts = audit.counts_of(lengths, column, dataset)
     s = audit.length_summary(counts).join(audit.truncation_share(counts), "unit")
@@ -141,51 +79,69 @@ class DenseClassifier:
     log: DataFrame
     best_epoch: int
 
+    def save(self, path: str) -> None:
+        self.vectors.write().overwrite().save(f"{path}/vectors")
+        self.head.write().overwrite().save(f"{path}/head")
+        self.log.withColumn("best_epoch", F.lit(self.best_epoch)).write.mode("overwrite").parquet(f"{path}/log")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "DenseClassifier":
+        log = spark.read.parquet(f"{path}/log")
+        return cls(Word2VecModel.load(f"{path}/vectors"), MultilayerPerceptronClassificationModel.load(f"{path}/head"),
+                   log.drop("best_epoch"), log.first().best_epoch)
+
 
 def _with_dense(df: DataFrame, vectors: Word2VecModel) -> DataFrame:
     return vectors.transform(df.withColumn("_tokens", tx.tokens(F.col("text")))).drop("_tokens")
 
 
-def _min_count(df: DataFrame, max_words: int) -> int:
-    """Smallest word count that leaves at most ``max_words`` words, which bounds the driver's
-    word table in the embedding fit."""
-    top = tfidf.most_frequent(materialise(tfidf.token_frequency(df)), max_words + 1)
-    r = top.agg(F.count(F.lit(1)).alias("k"), F.min("ctf").alias("n")).first()
-    return int(r.n) + 1 if r.k > max_words else 1
+def _embedding_input(train: DataFrame, max_words: int) -> DataFrame:
+    """(_tokens) of each row, restricted to the ``max_words`` most frequent words of all rows
+    (ties to the lower word), which is what bounds the driver's word table."""
+    rows = materialise(train.select(F.monotonically_increasing_id().alias("i"), tx.tokens(F.col("text")).alias("_tokens")))
+    long = rows.select("i", F.posexplode("_tokens").alias("at", "term"))
+    top = tfidf.most_frequent(materialise(long.groupBy("term").agg(F.count(F.lit(1)).alias("ctf"))), max_words)
+    kept = long.join(top.select("term"), "term", "left_semi")
+    back = kept.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("t"))
+    return back.select(F.col("t.term").alias("_tokens"))
 
 
 def fit_dense(train: DataFrame, valid: DataFrame, width: int = 32, hidden: int = 16,
               checkpoints: list[int] | None = None, max_words: int = settings.MAX_FEATURES,
-              partitions: int | None = None, seed: int = settings.SEED) -> DenseClassifier:
+              partitions: int = 8, seed: int = settings.SEED, classes: int = settings.NUM_CLASSES) -> DenseClassifier:
     """Mean word vectors, then a small perceptron; training length chosen on ``valid``.
 
-    The head is trained to each checkpoint length and the one with the best macro-F1 within
-    the early-stopping rule is kept. The embedding fit defaults to a single task, so its
-    partition count is set to the cluster's parallelism.
+    The head is trained on from checkpoint to checkpoint (numbers of iterations in all) until
+    the early-stopping rule ends it, and the one with the best macro-F1 is kept. ``partitions``
+    is a parameter of the embedding like its width: the same data gives the same model on
+    clusters of any size.
     """
     spark = train.sparkSession
-    embed = Word2Vec(vectorSize=width, minCount=_min_count(train, max_words), seed=seed, maxIter=1,
-                     numPartitions=partitions or spark.sparkContext.defaultParallelism,
+    embed = Word2Vec(vectorSize=width, minCount=1, seed=seed, maxIter=1, numPartitions=partitions,
                      inputCol="_tokens", outputCol="features")
-    vectors = embed.fit(train.select(tx.tokens(F.col("text")).alias("_tokens")))
+    vectors = embed.fit(_embedding_input(train, max_words))
     tr = _with_dense(train, vectors).select("label", "features").persist()
     va = _with_dense(valid, vectors).select("label", "features").persist()
-    heads, log = {}, []
+    heads, log, before = {}, [], 0
     try:
-        for epoch, steps in enumerate(checkpoints or [5, 20, 60], start=1):
+        for epoch, steps in enumerate(checkpoints or [5, 10, 20, 40, 60], start=1):
             trainer = MultilayerPerceptronClassifier(
-                layers=[width, hidden, settings.NUM_CLASSES], maxIter=steps, seed=seed,
+                layers=[width, hidden, classes], maxIter=steps - before, seed=seed,
                 featuresCol="features", labelCol="label")
-            heads[epoch] = trainer.fit(tr)
+            if heads:
+                trainer.setInitialWeights(heads[epoch - 1].weights)
+            heads[epoch], before = trainer.fit(tr), steps
             scored = _with_prediction(va, heads[epoch])
-            f1 = metrics.flat_metrics(metrics.confusion_record(scored)).first().macro_f1
+            f1 = metrics.flat_metrics(metrics.confusion_record(scored, classes=classes)).first().macro_f1
             log.append((0, epoch, float(f1)))
+            table = spark.createDataFrame(log, "run_id int, epoch int, macro_f1 double")
+            row = compare.early_stop(table).first()
+            if row.stop_epoch is not None:
+                break
     finally:
         tr.unpersist()
         va.unpersist()
-    table = spark.createDataFrame(log, "run_id int, epoch int, macro_f1 double")
-    best = compare.early_stop(table).first().best_epoch
-    return DenseClassifier(vectors, heads[best], table, best)
+    return DenseClassifier(vectors, heads[row.best_epoch], table, row.best_epoch)
 
 
 def _with_prediction(df: DataFrame, head: MultilayerPerceptronClassificationModel) -> DataFrame:

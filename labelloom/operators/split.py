@@ -3,8 +3,9 @@
 Rows get a seeded pseudo-random key and each class is cut at exact ranks of that order.
 Finding the cut keys needs no sort of the corpus: counts per (class, key bucket) locate
 the bucket of each cut, only those buckets are ranked, and the final assignment is a
-map-side comparison against a handful of cut keys. Keys derive from the unique row id,
-so buckets stay even whatever the texts look like.
+map-side comparison against a handful of cut keys. Keys derive from the seed and the text,
+so the same corpus splits alike whatever files it comes in; row ids only break ties between
+equal texts, of which a resolved corpus has none. Rows without a label are a class of their own.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from labelloom import settings
 from labelloom.functions import text as tx
+from labelloom.session import materialise
 
 BUCKET_HEX_DIGITS = 4
 
@@ -43,31 +45,33 @@ def assign_pieces(rows: DataFrame, ends: DataFrame, seed: int = settings.SEED,
     """Number each row's piece within its class.
 
     ``ends`` is (label, ends): ascending row counts at which the pieces end, the last piece
-    excepted. ``rows`` is read three times and should be a stored table.
+    excepted. ``rows`` is (row_id, text, label), read several times: a stored table.
+    The plan of one row per class is stored, so the result is a projection of ``rows``.
     """
-    key = tx.seeded_key(F.col("row_id"), seed)
+    key = tx.seeded_key(F.coalesce("text", F.lit("")), seed)
     keyed = rows.select("row_id", "label", key.alias("h"),
                         F.substring(key, 1, BUCKET_HEX_DIGITS).alias("bucket"))
     before = Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (keyed.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n"))
                     .withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))))
-    goals = ends.select("label", F.explode_outer("ends").alias("goal"))
-    holding = (buckets.join(F.broadcast(goals), "label")
+    goals = ends.select(F.col("label").alias("_l"), F.explode_outer("ends").alias("goal"))
+    holding = (buckets.join(F.broadcast(goals), F.col("label").eqNullSafe(F.col("_l")))
                .where((F.col("goal") > F.col("start")) & (F.col("goal") <= F.col("start") + F.col("n")))
-               .groupBy("label", "bucket", "start").agg(F.collect_list("goal").alias("goals")))
+               .groupBy("label", "bucket", "start").agg(F.collect_list("goal").alias("goals"))
+               .withColumnRenamed("label", "_l").withColumnRenamed("bucket", "_b"))
     in_bucket = Window.partitionBy("label", "bucket").orderBy("h", "row_id")
-    ranked = (keyed.join(F.broadcast(holding), ["label", "bucket"])
+    ranked = (keyed.join(F.broadcast(holding), F.col("label").eqNullSafe(F.col("_l")) & (F.col("bucket") == F.col("_b")))
               .withColumn("rank", F.col("start") + F.row_number().over(in_bucket)))
     cut = F.struct("h", "row_id")
     cuts = (ranked.withColumn("goal", F.explode("goals")).where(F.col("goal") == F.col("rank"))
-            .groupBy("label").agg(F.collect_list(cut).alias("cuts")))
+            .groupBy("label").agg(F.collect_list(cut).alias("cuts")).withColumnRenamed("label", "_c"))
     # One row per class: its cut keys, and how many leading pieces are empty.
-    plan = ends.join(cuts, "label", "left").select(
-        "label", F.coalesce("cuts", F.array().cast("array<struct<h:string,row_id:bigint>>")).alias("cuts"),
+    plan = ends.join(cuts, F.col("label").eqNullSafe(F.col("_c")), "left").select(
+        F.col("label").alias("_l"), F.coalesce("cuts", F.array().cast("array<struct<h:string,row_id:bigint>>")).alias("cuts"),
         F.size(F.filter("ends", lambda e: e <= 0)).alias("empty"))
     passed = F.size(F.filter("cuts", lambda c: c < F.struct(key.alias("h"), F.col("row_id"))))
-    return (rows.join(F.broadcast(plan), "label")
-                .withColumn(out, (passed + F.col("empty")).cast("int")).drop("cuts", "empty"))
+    return (rows.join(F.broadcast(materialise(plan)), F.col("label").eqNullSafe(F.col("_l")))
+                .withColumn(out, (passed + F.col("empty")).cast("int")).drop("cuts", "empty", "_l"))
 
 
 def stratified_split(rows: DataFrame, share: float = settings.TEST_SHARE,

@@ -1,13 +1,14 @@
 """TF-IDF: fit on long-form term counts, transform row by row.
 
-Fit shuffles the documents once by row id; tokenising, exploding and counting within the
-document then stay in that partitioning, and one aggregate per term follows. Frequent
-terms are folded on the map side. Transform needs no shuffle: the vocabulary is bounded
-by ``max_features`` and lives in a Spark ML ``CountVectorizerModel``.
+Fit counts in the row that holds the document: its sorted terms are exploded with a mark on
+the first of each run, so one aggregate per term, folded on the map side, gives both corpus
+and document frequency and no text is shuffled. Transform needs no shuffle either: the
+vocabulary is bounded by ``max_features`` and lives in a Spark ML ``CountVectorizerModel``.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -23,8 +24,8 @@ from labelloom.functions import text as tx
 from labelloom.operators import skew
 from labelloom.session import materialise
 
-# Rows one task may merge for a top-k.
-MERGE_ROWS = 5_000_000
+# Bytes of one idf value in the array that is shipped with the terms.
+IDF_BYTES = 20
 
 VOCAB_SCHEMA = T.StructType([
     T.StructField("term", T.StringType()), T.StructField("idx", T.IntegerType()),
@@ -33,20 +34,32 @@ VOCAB_SCHEMA = T.StructType([
 ])
 
 
-def with_terms(df: DataFrame, out: str = "terms") -> DataFrame:
-    """Add the array of unigrams and bigrams. Tokens get a column of their own so that the
-    regular expression runs once per document."""
-    return (df.withColumn("_tokens", tx.tokens(F.col("text")))
-              .withColumn(out, tx.ngrams(F.col("_tokens"))).drop("_tokens"))
+@dataclass(frozen=True)
+class Vectorizer:
+    """How a text becomes terms, and a term count a weight."""
 
+    ngram_range: tuple[int, int] = (1, 2)
+    token_pattern: str = chars.TOKEN
+    sublinear_tf: bool = True
 
-def term_counts(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    def tf(self, count: Column) -> Column:
+        return 1 + F.log(count) if self.sublinear_tf else count.cast("double")
+
+
+def with_terms(df: DataFrame, out: str = "terms", how: Vectorizer = Vectorizer()) -> DataFrame:
+    """Add the array of n-grams. Tokens get a column of their own so that the regular
+    expression runs once per document."""
+    return (df.withColumn("_tokens", tx.tokens(F.col("text"), how.token_pattern))
+              .withColumn(out, tx.ngrams(F.col("_tokens"), *how.ngram_range)).drop("_tokens"))
+
+
+def term_counts(df: DataFrame, keep: list[str] | None = None, how: Vectorizer = Vectorizer()) -> DataFrame:
     """(row_id, *keep, term, tf). Documents are placed by row id first, so the count per
     document needs no second exchange of the much larger exploded rows."""
     keep = keep or []
     placed = df.select("row_id", "text", *keep).repartition("row_id")
     # explode_outer: a plain explode would add a size filter that evaluates the array twice.
-    long = (with_terms(placed).select("row_id", *keep, F.explode_outer("terms").alias("term"))
+    long = (with_terms(placed, how=how).select("row_id", *keep, F.explode_outer("terms").alias("term"))
             .where(F.col("term").isNotNull()))
     return long.groupBy("row_id", *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -58,26 +71,33 @@ def token_frequency(df: DataFrame) -> DataFrame:
                 .agg(F.count(F.lit(1)).alias("ctf")))
 
 
-def term_stats(counts: DataFrame) -> DataFrame:
-    """(term, ctf, df): corpus and document frequency."""
-    return counts.groupBy("term").agg(F.sum("tf").alias("ctf"), F.count(F.lit(1)).alias("df"))
+def term_stats(df: DataFrame, how: Vectorizer = Vectorizer()) -> DataFrame:
+    """(term, ctf, df): corpus and document frequency, counted where the documents are.
+
+    Each sorted term travels with its left neighbour; where the two differ a new term of
+    the document begins.
+    """
+    ordered = with_terms(df.select("text"), how=how).select(F.array_sort("terms").alias("_s"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.col("_s"))
+    pairs = ordered.select(F.explode_outer(F.arrays_zip(F.col("_s").alias("term"), before.alias("left"))).alias("_p"))
+    pairs = pairs.select("_p.term", "_p.left").where(F.col("term").isNotNull())
+    first = F.when(F.col("term").eqNullSafe(F.col("left")), 0).otherwise(1)
+    return pairs.groupBy("term").agg(F.count(F.lit(1)).alias("ctf"), F.sum(first).alias("df"))
 
 
-def most_frequent(stats: DataFrame, k: int, merge_rows: int = MERGE_ROWS) -> DataFrame:
-    """The ``k`` terms of highest ``ctf``, ties to the lower term.
+def most_frequent(stats: DataFrame, k: int) -> DataFrame:
+    """The ``k`` terms of highest ``ctf``, ties to the lower term; ``stats`` is a stored table.
 
-    A top-k merges k rows of every partition in one task. When that would be too many,
-    terms that cannot qualify are dropped first: counts per power-of-two band of ``ctf``
-    show the lowest band that is still needed. ``stats`` should then be a stored table.
+    A top-k merges k rows of every partition in one task. Terms that cannot qualify are
+    left out before: counts per band of ``ctf`` show the lowest band that is still needed.
     """
-    if stats.rdd.getNumPartitions() * k > merge_rows:
-        band = F.floor(F.log2("ctf") * 8)
-        above = Window.partitionBy(F.lit(0)).orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
-        needed = (stats.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"))  # a few hundred bands
-                  .withColumn("_above", F.coalesce(F.sum("n").over(above), F.lit(0)))
-                  .where(F.col("_above") < k).agg(F.min("band")).first()[0])
-        if needed is not None:
-            stats = stats.where(band >= needed)
+    band = F.floor(F.log2("ctf") * 8)
+    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
+    needed = (stats.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"))  # a few hundred bands
+              .withColumn("_above", F.coalesce(F.sum("n").over(above), F.lit(0)))
+              .where(F.col("_above") < k).agg(F.min("band")).first()[0])
+    if needed is not None:
+        stats = stats.where(band >= needed)
     return stats.orderBy(F.desc("ctf"), F.asc("term")).limit(k)
 
 
@@ -102,13 +122,14 @@ class Tfidf:
     size: int
     n_bytes: int
     n_docs: int
+    how: Vectorizer = Vectorizer()
 
     @classmethod
-    def of(cls, vocab: DataFrame) -> "Tfidf":
+    def of(cls, vocab: DataFrame, how: Vectorizer = Vectorizer()) -> "Tfidf":
         stored = materialise(vocab)
         row = stored.agg(F.count(F.lit(1)).alias("n"), F.max("n_docs").alias("d"),
                          F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("b")).first()
-        return cls(stored, row.n, row.b, row.d or 0)
+        return cls(stored, row.n, row.b + row.n * IDF_BYTES, row.d or 0, how)
 
     @property
     def shippable(self) -> bool:
@@ -116,7 +137,10 @@ class Tfidf:
 
     @cached_property
     def counter(self) -> tuple[CountVectorizerModel, Column]:
-        """The term counter and the idf array; at most ``max_features`` rows of checked size."""
+        """The term counter and the idf array: at most ``max_features`` rows of checked size."""
+        if not self.shippable:
+            raise ValueError(f"a vocabulary of {self.n_bytes} bytes is above MAX_BROADCAST_BYTES ({settings.MAX_BROADCAST_BYTES}): "
+                             "lower max_features, or use weights_by_join")
         rows = self.vocab.orderBy("idx").select("term", "idf").collect()
         counter = CountVectorizerModel.from_vocabulary(
             [r.term for r in rows], inputCol="_terms", outputCol="_tf")
@@ -126,22 +150,26 @@ class Tfidf:
         """Keep the terms of ``chosen``; idf stays, columns are renumbered in term order."""
         idx = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term")) - 1
         kept = self.vocab.join(chosen.select("term"), "term", "left_semi")
-        return Tfidf.of(kept.withColumn("idx", idx.cast("int")).select(*VOCAB_SCHEMA.names))
+        return Tfidf.of(kept.withColumn("idx", idx.cast("int")).select(*VOCAB_SCHEMA.names), self.how)
 
     def save(self, path: str) -> None:
-        self.vocab.write.mode("overwrite").parquet(path)
+        how = json.dumps([list(self.how.ngram_range), self.how.token_pattern, self.how.sublinear_tf])
+        self.vocab.withColumn("how", F.lit(how)).write.mode("overwrite").parquet(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Tfidf":
         """Raises when nothing was saved at ``path``."""
-        return cls.of(spark.read.schema(VOCAB_SCHEMA).parquet(path))
+        stored = spark.read.parquet(path)
+        head = stored.select("how").first()
+        ngrams, pattern, sublinear = json.loads(head.how) if head else ([1, 2], chars.TOKEN, True)
+        return cls.of(stored.select(*VOCAB_SCHEMA.names), Vectorizer(tuple(ngrams), pattern, sublinear))
 
 
 def fit(df: DataFrame, max_features: int = settings.MAX_FEATURES, min_df: int = 1,
-        max_df: float = 1.0) -> Tfidf:
+        max_df: float = 1.0, how: Vectorizer = Vectorizer()) -> Tfidf:
     """Fit on training documents only."""
-    stats = materialise(term_stats(term_counts(df)))
-    return Tfidf.of(vocabulary(stats, df.count(), max_features, min_df, max_df))
+    stats = materialise(term_stats(df, how))
+    return Tfidf.of(vocabulary(stats, df.count(), max_features, min_df, max_df), how)
 
 
 def weights_by_join(df: DataFrame, model: Tfidf, keep: list[str] | None = None) -> DataFrame:
@@ -151,46 +179,34 @@ def weights_by_join(df: DataFrame, model: Tfidf, keep: list[str] | None = None)
     with frequent terms salted by their document frequency.
     """
     keep = keep or []
-    counts = term_counts(df, keep)
+    counts = term_counts(df, keep, model.how)
     if model.shippable:
         found = counts.join(F.broadcast(model.vocab.select("term", "idx", "idf")), "term")
     else:
         found = skew.rows_of_groups(counts, model.vocab, ["term"], "df", carry=["idx", "idf"])
-    raw = found.withColumn("_w", (1 + F.log("tf")) * F.col("idf"))
+    raw = found.withColumn("_w", model.how.tf(F.col("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("row_id")))
     return raw.select("row_id", *keep, "term", "idx", (F.col("_w") / norm).alias("weight"))
 
 
 def transform(df: DataFrame, model: Tfidf) -> DataFrame:
-    """Add ``indices`` and ``weights`` (sublinear tf, smoothed idf, unit length) to each row.
+    """Add ``indices`` and ``weights`` (tf, smoothed idf, unit length) to each row.
 
-    Unknown terms are ignored; a document without any known term gets empty arrays.
+    A projection for tables and streams alike. Unknown terms are ignored; a document without
+    any known term gets empty arrays. A vocabulary too large to ship raises a ValueError.
     """
-    if not model.shippable:
-        return _transform_large(df, model)
     if not model.size:
         return df.withColumn("indices", F.array().cast("array<int>")).withColumn(
             "weights", F.array().cast("array<double>"))
     counter, idf = model.counter
-    counted = counter.transform(with_terms(df, "_terms")).withColumn("_s", F.unwrap_udt("_tf"))
+    counted = counter.transform(with_terms(df, "_terms", model.how)).withColumn("_s", F.unwrap_udt("_tf"))
     raw = F.zip_with(F.col("_s.values"), F.col("_s.indices"),
-                     lambda tf, i: (1 + F.log(tf)) * F.get(idf, i))
+                     lambda tf, i: model.how.tf(tf) * F.get(idf, i))
     return (counted.withColumn("indices", F.col("_s.indices")).withColumn("_raw", raw)
                    .withColumn("weights", ar.l2_normalise(F.col("_raw")))
                    .drop("_terms", "_tf", "_s", "_raw"))
 
 
-def _transform_large(df: DataFrame, model: Tfidf) -> DataFrame:
-    """The same columns through the join form. Groups are single documents."""
-    pairs = (weights_by_join(df, model).groupBy("row_id")
-             .agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("_p")))
-    joined = df.join(pairs, "row_id", "left")
-    none = F.array().cast("array<struct<idx:int,weight:double>>")
-    return (joined.withColumn("_p", F.coalesce("_p", none))
-                  .withColumn("indices", F.col("_p.idx")).withColumn("weights", F.col("_p.weight"))
-                  .drop("_p"))
-
-
 def with_vectors(df: DataFrame, model: Tfidf, out: str = "features") -> DataFrame:
     """Add the sparse ML vector of each row."""
     return (transform(df, model)

@@ -20,7 +20,7 @@ VARIANTS = [BASELINE, MAX_DF, MAX_MIN_DF, CHI2]
 def fit_variants(train: DataFrame, max_features: int = settings.MAX_FEATURES, max_df: float = 0.9,
                  min_df: int = 2, top_k: int = settings.CHI2_TOP_K) -> dict[str, tfidf.Tfidf]:
     """One vocabulary per variant. Term statistics are counted once for all of them."""
-    stats = materialise(tfidf.term_stats(tfidf.term_counts(train)))
+    stats = materialise(tfidf.term_stats(train))
     n = train.count()
     models = {
         BASELINE: tfidf.Tfidf.of(tfidf.vocabulary(stats, n, max_features)),

@@ -4,21 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from labelloom import settings
-from labelloom.operators import audit, compare, metrics
-
-
-def class_bars(df: DataFrame) -> DataFrame:
-    return audit.class_distribution(df, list(range(settings.NUM_CLASSES)))
-
-
-def length_bars(df: DataFrame, bins: int = settings.HISTOGRAM_BINS) -> DataFrame:
-    return audit.length_histogram(audit.length_counts(df), bins)
-
-
-def quality_panel(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Redundant-row bars and the label-pair heat map."""
-    return audit.duplicate_audit(df), audit.label_conflict_pairs(df)
+from labelloom.operators import compare, metrics
 
 
 def confusion_heat_map(predictions: DataFrame, normalize: bool = False) -> DataFrame:
@@ -36,10 +22,5 @@ def metric_bars(results: DataFrame) -> DataFrame:
                                ["accuracy", "macro_f1", "weighted_f1"])
 
 
-def cost_bars(results: DataFrame) -> DataFrame:
-    return compare.metric_rows(compare.latest_per_model(results),
-                               ["training_time_s", "inference_ms_per_sample", "model_size_mb"])
-
-
 def prediction_table(joined: DataFrame, rows: int = 12) -> DataFrame:
     return compare.side_by_side(joined).orderBy("row_id").limit(rows)

@@ -15,6 +15,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return (
         SparkSession.builder.master(f"local[{cores}]").appName("labelloom")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.labelloom.spread", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")

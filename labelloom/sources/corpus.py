@@ -45,6 +45,7 @@ def scan_csv(spark: SparkSession, path: str) -> DataFrame:
     known = {f.name: f.dataType for f in RAW_SCHEMA}
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     raw = (spark.read.schema(schema).option("header", True).option("multiLine", True)
+           .option("enforceSchema", False)  # a file with another header raises
            .option("escape", '"').option("mode", "FAILFAST").csv(path))
     typed = raw.select(*[
         (tx.null_tokens_to_null(F.col(f"`{n}`"))
@@ -54,20 +55,12 @@ def scan_csv(spark: SparkSession, path: str) -> DataFrame:
     return canonical(typed)
 
 
-def scan_parquet(spark: SparkSession, path: str, text: str = "Sentences",
-                 label: str = "Sentiment", index: str = "Unnamed: 0") -> DataFrame:
-    return canonical(spark.read.parquet(path), text, label, index)
-
-
 def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Redistribute a bare table scan by its unique key when it has fewer splits than the
-    cluster has cores, e.g. a file with a single row group.
-
-    Text work costs far more CPU than its shuffle; a large table has more splits than
-    there are cores and is left alone.
+    """Redistribute a bare table scan by its unique key where the session's ``spark.labelloom.spread``
+    names a number of partitions: tests and benches read single files with one row group.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+    parts = scan.sparkSession.conf.get("spark.labelloom.spread", None)
+    return scan.repartition(int(parts), key) if parts else scan
 
 
 def write_splits(df: DataFrame, path: str) -> None:

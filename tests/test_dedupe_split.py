@@ -85,8 +85,9 @@ def test_label_pairs(corpus):
     assert len(got) == 9 and got[(0, 1)] == got[(1, 0)] == 2 and got[(-1, 1)] == 1 and got[(0, 0)] == 0
 
 
-def key(i, seed=42):
-    return hashlib.md5(f"{seed}|{i}".encode()).hexdigest()
+def key(i):
+    return hashlib.md5(f"42|text {i}".encode()).hexdigest(), i
+
 
 
 def split_rows(spark, sizes):
@@ -124,6 +125,21 @@ def test_folds_are_exact(spark, sizes):
         assert [fold[i] for i in ids] == [r * 5 // n for r in range(n)]
 
 
+def test_split_does_not_depend_on_files(spark):
+    texts = [f"text {i}" for i in range(200)]
+    def parts(order):
+        df = spark.createDataFrame([(n, texts[i], i % 3) for n, i in enumerate(order)], "row_id bigint, text string, label int")
+        return {r.text: r.split for r in split.stratified_split(df).collect()}
+    assert parts(range(200)) == parts(reversed(range(200)))
+
+
+def test_rows_without_label_are_kept(spark):
+    df = spark.createDataFrame([(i, f"text {i}", None if i % 5 == 0 else 1) for i in range(40)], "row_id bigint, text string, label int")
+    got = Counter((r.label, r.split) for r in split.stratified_split(df).collect())
+    assert got == Counter({(None, "test"): 2, (None, "train"): 6, (1, "test"): 6, (1, "train"): 26})
+    assert len(split.stratified_folds(df).collect()) == 40
+
+
 def test_split_does_not_leak(corpus):
     rows = [(f"text {i % 70}", 0) for i in range(200)]
     out = preprocess.prepare(corpus(rows))

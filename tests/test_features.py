@@ -5,14 +5,16 @@ import random
 from collections import Counter
 
 import pytest
+import regex
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from labelloom import settings
+from labelloom.functions import chars
 from labelloom.operators import selection, tfidf
 from labelloom.plans import ablation
 
-FIVE = ["यो फिल्म राम्रो छ", "यो फिल्म राम्रो छैन", "खाना मिठो छ", "सेवा नराम्रो थियो सेवा", "मलाई मन पर्‍यो"]
+FIVE = ["त्यो नाटक रमाइलो छ", "यो फिल्म राम्रो छैन", "खाना मिठो छ", "सेवा नराम्रो थियो सेवा", "मलाई मन पर्‍यो"]
 
 
 def terms_of(text):
@@ -63,9 +65,11 @@ def test_weights(corpus, random_docs, monkeypatch, k, min_df, max_df):
     check(tfidf.transform(df, model).collect())
     joined = Counter(r.row_id for r in tfidf.weights_by_join(df, model).collect())
     assert joined == Counter({i: len(w) for i, w in enumerate(want) if w})
-    # A vocabulary too large to ship takes the join and gives the same rows.
     monkeypatch.setattr(settings, "MAX_BROADCAST_BYTES", 0)
-    check(tfidf.transform(df, model).collect())
+    # A vocabulary too large to ship is refused by the projection and joined by the other form.
+    with pytest.raises(ValueError, match="MAX_BROADCAST_BYTES"):
+        tfidf.transform(df, tfidf.fit(train, k, min_df, max_df))
+    assert joined == Counter(r.row_id for r in tfidf.weights_by_join(df, model).collect())
 
 
 def test_most_frequent_prefilter(spark):
@@ -74,7 +78,7 @@ def test_most_frequent_prefilter(spark):
     df = spark.createDataFrame(stats, "term string, ctf bigint")
     for k in (1, 40, 150, 300, 400):
         want = sorted(stats, key=lambda r: (-r[1], r[0]))[:k]
-        assert sorted(map(tuple, tfidf.most_frequent(df, k, merge_rows=0).collect())) == sorted(want)
+        assert sorted(map(tuple, tfidf.most_frequent(df, k).collect())) == sorted(want)
 
 
 def test_vectors_and_density(corpus):
@@ -93,13 +97,39 @@ def test_transform_has_no_shuffle(corpus):
     assert "Exchange" not in plan and "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
 
 
+def test_counting_moves_no_text(corpus):
+    plan = tfidf.term_stats(corpus([(t, 0) for t in FIVE]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(term" in plan
+
+
+@pytest.mark.parametrize("how", [tfidf.Vectorizer((1, 1)), tfidf.Vectorizer((1, 3), sublinear_tf=False),
+                                 tfidf.Vectorizer((2, 2), chars.TOKEN_WITHOUT_DANDA)])
+def test_options(corpus, how):
+    docs = ["क ख क। ख", "क ख ग", "ग ग ग ख"]
+    lo, hi = how.ngram_range
+    pattern = regex.compile(regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), how.token_pattern))
+
+    def terms(d):
+        t = pattern.findall(d.lower())
+        return [" ".join(t[i:i + n]) for n in range(lo, hi + 1) for i in range(len(t) - n + 1)]
+    model = tfidf.fit(corpus([(d, 0) for d in docs]), how=how)
+    df = Counter(t for d in docs for t in set(terms(d)))
+    vocab = sorted(df)
+    assert [r.term for r in model.vocab.orderBy("idx").collect()] == vocab
+    for r in tfidf.transform(corpus([(d, 0) for d in docs]), model).collect():
+        w = {vocab.index(t): ((1 + math.log(c)) if how.sublinear_tf else c) * (math.log(4 / (1 + df[t])) + 1)
+             for t, c in Counter(terms(docs[r.row_id])).items()}
+        norm = math.sqrt(sum(v * v for v in w.values()))
+        assert r.indices == sorted(w) and all(abs(x - w[i] / norm) < 1e-12 for i, x in zip(r.indices, r.weights))
+
+
 def test_save_and_load(spark, corpus, tmp_path):
     df = corpus([(t, 0) for t in FIVE])
-    model = tfidf.fit(df)
+    model = tfidf.fit(df, how=tfidf.Vectorizer((1, 3), sublinear_tf=False))
     model.save(f"{tmp_path}/v")
     again = tfidf.Tfidf.load(spark, f"{tmp_path}/v")
     take = lambda m: sorted((r.row_id, r.indices, r.weights) for r in tfidf.transform(df, m).collect())
-    assert take(model) == take(again)
+    assert take(model) == take(again) and again.how == model.how
     with pytest.raises(AnalysisException):
         tfidf.Tfidf.load(spark, f"{tmp_path}/none")
 

@@ -1,6 +1,5 @@
 """Linear model, metrics, comparison, neural scoring, streaming and storage."""
 
-import json
 import random
 
 import numpy as np
@@ -9,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from labelloom import settings
 from labelloom.functions import arrays as ar
 from labelloom.operators import compare, linear, metrics, neural
 from labelloom.plans import charts, experiment, preprocess
@@ -39,6 +39,13 @@ def test_metrics_extremes(spark, pred, score):
     assert o.accuracy == o.macro_f1 == o.weighted_f1 == score
 
 
+def test_every_labelled_row_counts(spark):
+    rows = spark.createDataFrame([(0, 0), (1, None), (2, 7), (1, 1), (None, 1)], "label int, pred int")
+    rec = metrics.confusion_record(rows)
+    assert metrics.metrics_overall(rec).first().accuracy == 0.5
+    assert {r.label: (r.support, r.recall) for r in metrics.metrics_per_class(rec).collect()} == {0: (1, 1.0), 1: (2, 0.5), 2: (1, 0.0)}
+
+
 def test_class_never_predicted(spark):
     rec = metrics.confusion_record(pairs(spark, [0, 1, 2], [0, 0, 0]))
     rows = {r.label: r for r in metrics.metrics_per_class(rec).collect()}
@@ -151,6 +158,17 @@ def test_scoring_batch_and_stream(spark, scorer, tmp_path):
     assert row.accuracy == 1.0 and row.model_size_mb == 0.25 and row.peak_memory_mb is None and row.run_ts is not None
 
 
+def test_scorer_round_trip_and_limit(spark, scorer, tmp_path, monkeypatch):
+    model, rows = scorer
+    model.save(f"{tmp_path}/scorer")
+    again = experiment.TextScorer.load(spark, f"{tmp_path}/scorer")
+    key = lambda d: sorted((r.row_id, r.pred, r.confidence) for r in d.collect())
+    assert key(again.predict(rows)) == key(model.predict(rows))
+    monkeypatch.setattr(settings, "MAX_BROADCAST_BYTES", 0)
+    with pytest.raises(ValueError, match="MAX_BROADCAST_BYTES"):
+        experiment.fit_scorer(rows)
+
+
 def test_scoring_plan_is_map_only(spark, scorer):
     plan = scorer[0].score(spark.createDataFrame([("a",)], "text string"))
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
@@ -215,20 +233,6 @@ def test_softmax_argmax_padding(spark):
     assert (rows[1].ids, rows[1].m) == ([1, 2, 3, 4], [1, 1, 1, 1])
 
 
-def test_subwords(spark, corpus):
-    tok = neural.wordpiece_json(["राम्रो", "काम", "good"])
-    df = corpus([("good काम", 0), ("goodd", 0), (None, 0), ("good " * 100, 0)])
-    lens = {r.row_id: r.n_subwords for r in neural.subword_lengths(df, tok).collect()}
-    assert lens[0] == 4 and lens[1] == 4 and lens[2] == 2 and lens[3] == 102
-    enc = {r.row_id: r for r in neural.subword_encode(df, tok, 8).collect()}
-    assert all(len(r.input_ids) == len(r.attention_mask) == 8 for r in enc.values())
-    assert sum(enc[0].attention_mask) == 4 and sum(enc[3].attention_mask) == 8
-    vocab = json.loads(tok)["model"]["vocab"]
-    assert enc[3].input_ids[-1] == vocab["[SEP]"]
-    stats = neural.length_stats(neural.subword_lengths(df, tok), "d").first()
-    assert stats.n_rows == 4 and stats.max == 102 and stats.pct_over_64 == 25.0
-
-
 def test_batch_score(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(50, 4)).astype("float32")
@@ -238,7 +242,7 @@ def test_batch_score(spark):
     assert [r.pred for r in got] == (x.astype("float64") @ w.T + b).argmax(1).tolist()
 
 
-def test_dense_classifier(spark, corpus):
+def test_dense_classifier(spark, corpus, tmp_path):
     rng = random.Random(0)
     words = {-1: "bad awful poor".split(), 0: "plain table chair".split(), 1: "good great fine".split()}
     rows = [(" ".join(rng.choice(words[y]) for _ in range(8)), y) for y in (-1, 0, 1) * 40]
@@ -247,6 +251,16 @@ def test_dense_classifier(spark, corpus):
     assert model.log.count() == 2 and model.best_epoch in (1, 2)
     scored = neural.predict_dense(df, model)
     assert linear.MacroF1().evaluate(scored) > 0.6
+    model.save(f"{tmp_path}/dense")
+    again = neural.DenseClassifier.load(spark, f"{tmp_path}/dense")
+    key = lambda d: sorted((r.row_id, r.pred, r.confidence) for r in d.collect())
+    assert key(neural.predict_dense(df, again)) == key(scored) and again.best_epoch == model.best_epoch
+
+
+def test_dense_keeps_tied_words(corpus):
+    df = corpus([(" ".join(f"w{i}" for i in range(50)), y) for y in (0, 1, 2)])
+    kept = neural._embedding_input(df, 20).collect()
+    assert [r[0] for r in kept] == [[f"w{i}" for i in range(50) if f"w{i}" in sorted(f"w{j}" for j in range(50))[:20]]] * 3
 
 
 # Storage.
@@ -263,6 +277,12 @@ def test_csv_scan(spark, tmp_path):
     assert [(r.text, r.label) for r in store.scan_csv(spark, str(plain)).orderBy("row_id").collect()] == [("क", 1), ("ख", 0)]
     with pytest.raises(AnalysisException):
         store.scan_csv(spark, str(tmp_path / "none.csv"))
+    both = tmp_path / "both"
+    both.mkdir()
+    (both / "a.csv").write_text("Sentences,Sentiment\nx,1\n", encoding="utf-8")
+    (both / "b.csv").write_text("Sentiment,Sentences\n1,x\n", encoding="utf-8")
+    with pytest.raises(Exception):  # another column order is an error, never a swap
+        store.scan_csv(spark, str(both)).collect()
 
 
 def test_split_table(spark, corpus, tmp_path):
@@ -283,6 +303,7 @@ def test_summary_and_length_tables(spark, corpus, tmp_path):
     results.write_comparison(table, f"{tmp_path}/c")
     assert spark.read.csv(f"{tmp_path}/c", header=True).first().winner == "x"
     assert results.read_length_stats(spark, f"{tmp_path}/l") is None
-    lens = neural.subword_lengths(corpus([("a", 0)]), neural.wordpiece_json(["a"]))
-    results.write_length_stats(neural.length_stats(lens, "d"), lens, f"{tmp_path}/l")
-    assert results.read_length_stats(spark, f"{tmp_path}/l").first().max == 3
+    lens = spark.createDataFrame([(1, 3), (2, 70)], "row_id bigint, n_tokens int")
+    results.write_length_stats(neural.length_stats(lens, "d", "n_tokens"), lens, f"{tmp_path}/l")
+    stats = results.read_length_stats(spark, f"{tmp_path}/l").first()
+    assert stats.max == 70 and stats.pct_over_64 == 50.0
