@@ -8,11 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import chat, decontaminate, lines, pages, pieces, quality, shuffle, simhash, substrings, suffixes
+from labelloom.llm import chat, decontaminate, lines, oracles, pages, pieces, quality, shuffle, simhash, substrings, suffixes
 from labelloom.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_pages": oracles.PAGES, "op3_decontamination": oracles.CONTAMINATION,
+    "op5_substrings": oracles.WINDOWS, "op8_chat": oracles.CHAT,
+}
 
 
 def query(f):
