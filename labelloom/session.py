@@ -55,3 +55,17 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete everything this session has stored in the shared folder.
+
+    For the end of a plan, when its results are written and no frame built on stored tables
+    will be read again.
+    """
+    active = spark.sparkContext.getCheckpointDir()
+    if active is not None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(active)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        for found in files.listStatus(folder):
+            files.delete(found.getPath(), True)
