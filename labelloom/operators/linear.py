@@ -31,7 +31,7 @@ TASK_BYTES = 32 * 1024 * 1024
 # Executor storage that the fits of one search may take together.
 CACHE_BYTES = 1024 * 1024 * 1024
 # Relative change of the loss at which a fit of the search ends.
-SEARCH_TOL = 1e-4
+SEARCH_TOL = 1e-6
 
 
 def training_table(df: DataFrame) -> DataFrame:
@@ -118,8 +118,7 @@ def grid_search(df: DataFrame, grid: list[float] | None = None, evaluator: Evalu
     Class weights and regularisation follow each training part. The fits are independent
     Spark jobs over one stored feature table; each caches the blocks it trains on, so
     ``parallelism`` defaults to the number of copies that CACHE_BYTES hold. The search stops
-    a fit at ``search_tol``, which is enough to rank models by their predictions; the refit
-    goes on to ``tol``.
+    a fit at ``search_tol``, the refit at ``tol``.
     """
     grid = grid or settings.C_GRID
     judge = evaluator or MacroF1()
