@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at a time inside a task. A longer single text is handled alone.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text handled at a time inside a task, a little below a power of two as the tables of powers grow by doubling.
+#: A longer single text is handled alone.
+CHUNK_BYTES = (2 << 20) - 4096
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

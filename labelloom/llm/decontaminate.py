@@ -1,6 +1,6 @@
 """Benchmark decontamination over a positional inverted index of the training tokens.
 
-The index is a table of segments. A segment covers about 4 MB of text and holds its sorted term dictionary with one
+The index is a table of segments. A segment covers about 2 MB of text and holds its sorted term dictionary with one
 list of word positions per term. A test phrase is searched from its rarest terms: the rarest term's list, moved by the
 term's offset in the phrase, gives candidate starts, and every further term's list, moved likewise, is intersected with
 them. Terms are 64-bit hashes of lower-cased words.

@@ -22,7 +22,7 @@ from labelloom.llm import arrays, shared
 
 SPACE = "▁"
 #: Words whose encoding a task remembers between batches.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 #: Symbols merged at a time.
 SLICE = 1 << 16
 

@@ -19,6 +19,8 @@ from labelloom.llm import arrays, shared
 
 WINDOW_WORDS = 20
 PART_WORDS = 4
+#: Bytes of text within which each distinct window is sent once.
+CHUNK_BYTES = 4 << 20
 #: Buckets per shuffle partition; a task sorts one bucket at a time.
 SUB = 8
 RUN = np.dtype([("doc", "<i8"), ("th", "<u4"), ("start", "<u4"), ("n", "u1")])
@@ -74,7 +76,7 @@ def repeats(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     buckets = parts * SUB
 
     def scatter(batches):
-        for rows, _, _ in arrays.chunks(batches):
+        for rows, _, _ in arrays.chunks(batches, limit=CHUNK_BYTES):
             ids = rows.column("doc_id").fill_null(NULL_ID)
             table = pa.table([ids, rows.column("th"), rows.column("text")], ["doc", "th", "text"]).sort_by([("doc", "ascending"), ("th", "ascending")])
             doc, th = (table.column(c).to_numpy() for c in ("doc", "th"))

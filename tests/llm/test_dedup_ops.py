@@ -59,7 +59,7 @@ def test_windows_query(spark, sf, corpus_rows):
 
 
 def test_windows_over_many_chunks(docs, monkeypatch):
-    monkeypatch.setattr(substrings.arrays.chunks, "__defaults__", ("text", 900))
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 900)
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(60))) + " " + SHARED[rng.randrange(90):]) for i in range(150)]
     assert rows_of(substrings.dedup_windows(docs(rows)), *WORDS) == windows(rows)
