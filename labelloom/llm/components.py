@@ -30,6 +30,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e"))
         edges = materialise(small.select("e.*").where("v <> u").distinct())
+    else:
+        raise RuntimeError(f"links still change after {max_rounds} rounds")
     roots = edges.groupBy("v").agg(F.min("u").alias("u"))
     return roots.select(F.col("v").alias("node"), F.col("u").alias("root")).union(
         roots.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
