@@ -18,11 +18,17 @@ from pyspark.sql import functions as F
 
 from labelloom.llm import arrays, shared
 from labelloom.llm.components import components
+from labelloom.llm.lines import bucket_links, small
 
 SHINGLE_WORDS = 4
 RADIUS = 4
 HASH_SEED = 42
 BITS = 64
+#: Of the pipeline's near-dedup: words of a shingle, Jaccard similarity, and MinHashes in bands of so many.
+KEEP_WORDS = 5
+SIMILARITY = 0.8
+BANDS, BAND_HASHES = 12, 3
+MULTIPLIERS = np.random.default_rng(HASH_SEED).integers(0, 1 << 63, BANDS * BAND_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Variants sorted at a time inside a task.
 TASK_VARIANTS = 1 << 21
 
@@ -197,7 +203,51 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_
     return fps.join(named, fps.fp == named.f).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of shingle hashes, each made of BAND_HASHES MinHashes."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    low = np.array([(hashes * m).min() for m in MULTIPLIERS], np.uint64).reshape(BANDS, BAND_HASHES)
+    return np.array([xxhash.xxh64_intdigest(bytes([i]) + row.tobytes(), HASH_SEED) for i, row in enumerate(low)], np.uint64).view(np.int64)
+
+
+def shingle_sets(texts: DataFrame, width: int, keys: bool) -> DataFrame:
+    """(id, size, sketch) of every row of (id, text): the band keys of its set of shingles, or the sorted set itself."""
+    def run(batches):
+        for rows, buf, off in arrays.chunks(batches):
+            raw = buf.tobytes()
+            sets = [np.unique(shingle_hashes(raw[a:b], width)) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+            out = [_keys(h) if keys else h.view(np.int64) for h in sets]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["id", "size", "sketch"])
+    return shared.texts(texts, "id").mapInArrow(run, "id bigint, size bigint, sketch array<bigint>")
+
+
+def similar_texts(docs: DataFrame, width: int = KEEP_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) for every row of (doc_id, text).
+
+    Texts are linked if the Jaccard similarity of their sets of ``width``-word shingles reaches ``similarity``; texts of
+    that similarity share a band of MinHashes with probability 0.9998, and every link is verified on the sets.
+    component_id is the smallest doc_id of the connected group.
+    """
+    rows = shared.texts(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("id", F.xxhash64("text"))
+    owners = shared.materialise(rows.groupBy("id").agg(F.min("doc_id").alias("low")))
+    sketches = shared.materialise(shingle_sets(rows.select("id", "text"), width, True).dropDuplicates(["id"]))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        ids = shared.materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+        sets = shared.materialise(shingle_sets(rows.join(small(ids), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), width, False))
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return both.where(common >= (F.size("x") + F.size("y") - common) * F.lit(similarity - 1e-9)).select("a", "b")
+    found = bucket_links(sketches, verify, lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(similarity - 1e-9))
+    roots = components(found)
+    rooted = owners.join(roots, owners.id == roots.node, "left").select("id", "low", F.coalesce("root", "id").alias("root"))
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = shared.materialise(rooted.join(lows, "root").select(F.col("id").alias("i"), "component_id"))
+    return rows.select("doc_id", "id").join(named, F.col("id") == F.col("i")).select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of one document of each near-duplicate group: the one with the smallest doc_id."""
-    keep = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    """The rows of one document of each group of similar texts: the one with the smallest doc_id."""
+    keep = similar_texts(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     return docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
