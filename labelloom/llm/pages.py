@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 
 from labelloom.llm import shared
 
-#: A subtree is template if it is on so many pages of its host, and on such a share of them.
+#: A block is template if it is on so many pages of its host and on such a share of them, or on MANY_PAGES of them.
 MIN_PAGES = 5
-MIN_SHARE = 0.2
+MIN_SHARE = 0.02
+MANY_PAGES = 200
+#: Elements inside a line of text and cells, which may well recur in what pages say, need such a share.
+PART_SHARE = 0.2
 #: Template hashes of 8 bytes, shipped to every task up to this number, joined by page beyond.
 BROADCAST_HASHES = 1_000_000
 
@@ -30,6 +33,8 @@ DROPPED = frozenset("head script style textarea title iframe noembed noframes no
 MAIN = frozenset(["article", "main"])
 BLOCKS = frozenset(("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                     "header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul").split())
+#: Blocks that are parts of a larger one.
+CELLS = frozenset("br caption dd dt li option tbody td tfoot th thead tr".split())
 #: A start tag of the key closes an open element of these, up to the given borders.
 ENDS_P = BLOCKS - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option"}
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -45,10 +50,10 @@ WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "marked", "parts", "main", "inside", "hash")
+    __slots__ = ("tag", "marked", "parts", "main", "inside", "spared", "hash")
 
-    def __init__(self, tag: str, marked: bool, inside: bool):
-        self.tag, self.marked, self.inside = tag, marked, inside
+    def __init__(self, tag: str, marked: bool, inside: bool, spared: bool = False):
+        self.tag, self.marked, self.inside, self.spared = tag, marked, inside, spared
         self.parts: list = []
         self.main, self.hash = tag in MAIN or tag == "h1", 0
 
@@ -110,7 +115,7 @@ def parse(html: str) -> Node:
         if tag in CLOSES:
             up_to(*CLOSES[tag])
         top = stack[-1]
-        node = Node(tag, marked(attributes) if attributes else False, top.inside or top.tag in MAIN)
+        node = Node(tag, marked(attributes) if attributes else False, top.inside or top.tag in MAIN, top.spared or top.tag in ("article", "h1"))
         top.parts.append(node)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
@@ -136,16 +141,26 @@ def ruled_out(node: Node) -> bool:
     return node.marked and not node.main and node.tag not in ("html", "body")
 
 
-def subtrees(root: Node) -> set[int]:
-    """Hashes of all elements outside the article that hold no article."""
-    out, todo = set(), [root]
+def whole(node: Node) -> bool:
+    """Whether the element is a block of its own."""
+    return node.tag in BLOCKS and node.tag not in CELLS
+
+
+def deletable(node: Node) -> bool:
+    """Whether a recurring element may go: none that is in, is or holds an article, main or h1; in main only whole blocks."""
+    return not node.spared and not node.main and node.tag not in MAIN and (whole(node) or not node.inside)
+
+
+def subtrees(root: Node) -> dict[int, bool]:
+    """Hashes of all elements that may be template, and whether each is a whole block."""
+    out, todo = {}, [root]
     while todo:
         node = todo.pop()
         for p in node.parts:
-            if not isinstance(p, str) and not p.inside and p.tag not in MAIN:
+            if not isinstance(p, str) and not p.spared and p.tag != "article":
                 todo.append(p)
-                if not p.main and p.parts:
-                    out.add(p.hash)
+                if p.parts and deletable(p):
+                    out[p.hash] = whole(p)
     return out
 
 
@@ -166,7 +181,7 @@ def extract(root: Node, template) -> str:
             flush()
         elif isinstance(p, str):
             now.append(p)
-        elif not ruled_out(p) and not (p.hash in template and not p.inside and not p.main and p.tag not in MAIN):
+        elif not ruled_out(p) and not (p.hash in template and deletable(p)):
             if p.tag in BLOCKS:
                 flush()
                 todo.append(None)
@@ -190,23 +205,25 @@ def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
                         F.coalesce(host, F.lit("")).alias("host"), F.xxhash64(url, F.col(f"`{html_col}`").cast("string")).alias("at"))
 
 
-def templates(rows: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> tuple[DataFrame, DataFrame]:
-    """(template keys, (page_id, at, host, key) of all subtrees); a key is a hash of host and subtree."""
+def templates(rows: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES, part_share: float = PART_SHARE) -> tuple[DataFrame, DataFrame]:
+    """(template keys, (page_id, at, host, key, whole) of all subtrees); a key is a hash of host and subtree."""
     def run(batches):
         for b in batches:
-            ids, at, hosts, keys = [], [], [], []
+            ids, at, hosts, keys, blocks = [], [], [], [], []
             for i, a, host, text in zip(*(b.column(c).to_pylist() for c in ("page_id", "at", "host", "html"))):
-                found = sorted(_key(host, h) for h in subtrees(parse(text or "")))
+                found = sorted((_key(host, h), w) for h, w in subtrees(parse(text or "")).items())
                 ids += [i] * len(found)
                 at += [a] * len(found)
                 hosts += [host] * len(found)
-                keys += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(hosts, pa.string()), pa.array(keys, pa.int64())], ["page_id", "at", "host", "key"])
+                keys += [k for k, _ in found]
+                blocks += [w for _, w in found]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(blocks, pa.bool_())], ["page_id", "at", "host", "key", "whole"])
 
-    found = shared.materialise(rows.select("page_id", "at", "host", "html").mapInArrow(run, "page_id bigint, at bigint, host string, key bigint"))
-    counted = found.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    found = shared.materialise(rows.select("page_id", "at", "host", "html").mapInArrow(run, "page_id bigint, at bigint, host string, key bigint, whole boolean"))
+    counted = found.groupBy("host", "key", "whole").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     hosts = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    kept = counted.join(hosts, "host").where(F.col("n") >= F.col("pages") * F.lit(min_share)).select("key").distinct()
+    needed = F.when(F.col("whole"), F.least(F.col("pages") * F.lit(min_share), F.lit(float(many_pages)))).otherwise(F.col("pages") * F.lit(part_share))
+    kept = counted.join(hosts, "host").where(F.col("n") >= needed).select("key").distinct()
     return shared.materialise(kept), found
 
 
@@ -214,7 +231,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """(page_id, url, text, n_chars) for every row of pages.
 
     Null or empty html gives an empty text. Pages without a readable host share one empty host. Template deletion never
-    reaches into, or takes away, an article, main or h1 element: what recurs there is content. Repeated rows are returned as
+    reaches into an article or h1 element, or takes away one of these or a main: what recurs there is content. Of what is
+    inside main only whole blocks are deleted. Repeated rows are returned as
     often as they come; rows under one page_id are told apart by their content. Other columns are ignored.
     """
     rows = _pages(pages, id_col, url_col, html_col)
