@@ -51,3 +51,43 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id"""
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+#: The CRC-32 of ISO 3309 over the ASCII bytes of a decimal number; its polynomial, reflected, is a fixed value.
+_CRC32 = """xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT))),
+  lambda x, b: list_reduce(list_prepend(xor(x, b), [1::UBIGINT, 2, 3, 4, 5, 6, 7, 8]), lambda y, z: xor(y >> 1, (y & 1) * 3988292384::UBIGINT))))"""
+
+
+def _levels(p: str, depth: int) -> str:
+    """CTEs of a forest over {p}0 (s, i, h): runs {p}r{k} of 16 with their list, nodes {p}{k + 1}; a single node stays."""
+    return ",\n".join(f"""{p}r{k} AS (SELECT s, i // 16 AS j, list(h ORDER BY i) AS hs, count(*) OVER (PARTITION BY s) = 1 AND count(*) = 1 AS single FROM {p}{k} GROUP BY s, i // 16),
+{p}{k + 1} AS (SELECT s, j AS i, CASE WHEN single THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM {p}r{k})""" for k in range(depth))
+
+
+def _fold(p: str, f: str, depth: int) -> str:
+    """CTEs that carry (key, s, i, cur, proof) from {f}0 up all runs."""
+    left, right = "array_to_string(hs[1:i % 16], '')", "array_to_string(hs[i % 16 + 2:], '')"
+    return ",\n".join(f"""{f}{k + 1} AS (SELECT key, f.s, f.i // 16 AS i, CASE WHEN single THEN cur ELSE sha256({left} || cur || {right}) END AS cur,
+  CASE WHEN single THEN proof ELSE proof || {left} || {right} END AS proof FROM {f}{k} f JOIN {p}r{k} r ON r.s = f.s AND r.j = f.i // 16)""" for k in range(depth))
+
+
+#: Sources of up to 16^4 rows, up to 16^3 sources.
+MERKLE = f"""
+WITH d AS (SELECT *, doc_id IS NOT NULL AND {_CRC32} % 5 = 0 AS bad FROM documents),
+v AS (SELECT doc_id, source, sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', 'text')))}) AS leaf,
+  CASE WHEN bad THEN sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars')))} || {_field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS other FROM d),
+l AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, row_number() OVER () AS key FROM v),
+a0 AS (SELECT s, i, leaf AS h FROM l),
+{_levels('a', 4)},
+b0 AS (SELECT 0 AS s, s - 1 AS i, h FROM a4),
+{_levels('b', 3)},
+f0 AS (SELECT key, s, i, coalesce(other, leaf) AS cur, '' AS proof FROM l),
+{_fold('a', 'f', 4)},
+g0 AS (SELECT key, 0 AS s, s - 1 AS i, cur, proof FROM f4),
+{_fold('b', 'g', 3)}
+SELECT doc_id, leaf, a4.h AS subroot, b3.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = b3.h AS verified
+FROM l JOIN g3 USING (key) JOIN a4 ON a4.s = l.s CROSS JOIN b3"""

@@ -8,13 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import chat, decontaminate, lines, oracles, pages, pieces, quality, shuffle, simhash, substrings, suffixes
+from labelloom.llm import chat, decontaminate, lines, merkle, oracles, pages, pieces, quality, shuffle, simhash, substrings, suffixes
 from labelloom.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
     "op1_pages": oracles.PAGES, "op3_decontamination": oracles.CONTAMINATION,
     "op5_substrings": oracles.WINDOWS, "op8_chat": oracles.CHAT,
+    "op11_merkle": oracles.MERKLE,
 }
 
 
@@ -83,3 +84,8 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(merkle.manifest(table(spark, sf_dir, "documents")))
