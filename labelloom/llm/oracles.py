@@ -91,3 +91,9 @@ g0 AS (SELECT key, 0 AS s, s - 1 AS i, cur, proof FROM f4),
 {_fold('b', 'g', 3)}
 SELECT doc_id, leaf, a4.h AS subroot, b3.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = b3.h AS verified
 FROM l JOIN g3 USING (key) JOIN a4 ON a4.s = l.s CROSS JOIN b3"""
+
+EXACT = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t, row_number() OVER () AS r FROM documents),
+g AS (SELECT *, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST, r) = 1 AS kept FROM d)
+SELECT doc_id, keep_id, group_size, kept, sha256(t) AS text_sha256 FROM g"""
