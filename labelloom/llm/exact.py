@@ -27,9 +27,11 @@ FOLD_BYTES = 8 << 20
 #: Distinct text in one trie.
 TRIE_BYTES = 32 << 20
 #: Buckets per shuffle partition; a task holds the trie of one of them.
-SUB = 8
-#: A text is hot above so many rows and above this share of all rows; there are at most HOT_KEYS hot ones.
-HOT_ROWS, HOT_KEYS = 1000, 1_000_000
+SUB = 32
+#: A text is hot if its rows hold more than so many bytes (and ROW_BYTES a row), and more than this share of all; there
+#: are at most HOT_KEYS hot ones.
+HOT_BYTES, HOT_KEYS = 4 << 20, 1_000_000
+ROW_BYTES = 100
 
 ENTRY = "bucket bigint, h bigint, data binary, low bigint, n bigint, last boolean"
 OWNER = "h bigint, data binary, low bigint, n bigint, text_sha256 string"
@@ -136,15 +138,15 @@ class Trie:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, row, h, text_sha256) of every row: th is a hash of the text as it is, row the row's number, the others are of the normalised text."""
+    """(doc_id, th, row, size, h, text_sha256) of every row: th is a hash of the text as it is, row the row's number, the others are of the normalised text."""
     def run(batches):
         for rows, buf, off in arrays.chunks(batches):
             raw, at = normalised(buf, off)
             texts = [raw[a:b] for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", "th", "row")), pa.array([content_hash(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())], ["doc_id", "th", "row", "h", "text_sha256"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", "th", "row")), pa.array(np.diff(at) + ROW_BYTES, pa.int64()), pa.array([content_hash(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())], ["doc_id", "th", "row", "size", "h", "text_sha256"])
 
     rows = shared.texts(docs).select("doc_id", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("row"), "text")
-    return shared.materialise(rows.mapInArrow(run, "doc_id bigint, th bigint, row bigint, h bigint, text_sha256 string"))
+    return shared.materialise(rows.mapInArrow(run, "doc_id bigint, th bigint, row bigint, size bigint, h bigint, text_sha256 string"))
 
 
 def _entries(docs: DataFrame, hot: np.ndarray, buckets: int, salts: int, fold_bytes: int) -> DataFrame:
@@ -167,7 +169,7 @@ def _entries(docs: DataFrame, hot: np.ndarray, buckets: int, salts: int, fold_by
                 text = raw[a:b]
                 if (own := held.get(text)) is None:
                     held[text] = [low, 1]
-                    size += b - a + 100
+                    size += b - a + ROW_BYTES
                 else:
                     own[0], own[1] = smaller(own[0], low), own[1] + 1
             if size > fold_bytes:
@@ -209,13 +211,13 @@ def _settle(entries: DataFrame, parts: int, trie_bytes: int) -> DataFrame:
     return entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, OWNER)
 
 
-def owners(docs: DataFrame, rows: DataFrame, fold_bytes: int = FOLD_BYTES, trie_bytes: int = TRIE_BYTES, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+def owners(docs: DataFrame, rows: DataFrame, fold_bytes: int = FOLD_BYTES, trie_bytes: int = TRIE_BYTES, hot_bytes: int = HOT_BYTES) -> tuple[DataFrame, DataFrame]:
     """((h, text_sha256, low, n) of every distinct text, (h) of the hot ones); ``rows`` are the fingerprints of ``docs``."""
     spark = docs.sparkSession
-    total = rows.count()
-    counts = rows.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > max(hot_rows, total // HOT_KEYS))
-    hot = shared.materialise(counts.select("h"))  # at most total / (total / HOT_KEYS) rows
-    parts = shared.partitions(spark, shared.text_bytes(shared.texts(docs)))
+    total = rows.agg(F.sum("size").alias("b")).first().b or 0
+    held = rows.groupBy("h").agg(F.sum("size").alias("b")).where(F.col("b") > max(hot_bytes, total // HOT_KEYS))
+    hot = shared.materialise(held.select("h"))  # at most total / (total / HOT_KEYS) rows
+    parts = shared.partitions(spark, total)
     entries = _entries(docs, np.array([r.h for r in hot.toLocalIterator()], np.int64), parts * SUB, int(parts ** 0.5) + 1, fold_bytes)
     found, turn = None, 0
     while True:

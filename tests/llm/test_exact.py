@@ -51,7 +51,7 @@ def test_spills_and_salts_change_nothing(spark, docs):
     want = brute(rows)
     assert got(docs(rows)) == want
     assert got(docs(rows), trie_bytes=300, fold_bytes=2000) == want
-    assert got(docs(rows), hot_rows=20, fold_bytes=500, trie_bytes=5000) == want
+    assert got(docs(rows), hot_bytes=3000, fold_bytes=500, trie_bytes=5000) == want
 
 
 @given(st.lists(st.binary(max_size=12).map(lambda b: bytes(x % 3 + 97 for x in b)), max_size=40), st.integers(20, 200))
