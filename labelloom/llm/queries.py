@@ -8,14 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import chat, decontaminate, exact, lines, merkle, oracles, pages, pieces, quality, shuffle, simhash, substrings, suffixes
+from labelloom.llm import chat, collocations, decontaminate, exact, lines, merkle, oracles, pages, pieces, quality, shuffle, simhash, substrings, suffixes
 from labelloom.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
     "op1_pages": oracles.PAGES, "op3_decontamination": oracles.CONTAMINATION,
     "op5_substrings": oracles.WINDOWS, "op8_chat": oracles.CHAT,
-    "op11_merkle": oracles.MERKLE, "op12_exact": oracles.EXACT,
+    "op11_merkle": oracles.MERKLE, "op12_exact": oracles.EXACT, "op13_collocations": oracles.COLLOCATIONS,
 }
 
 
@@ -94,3 +94,8 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.copies(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
