@@ -25,7 +25,9 @@ MIN_COUNT = 100
 MAX_WORDS = 5
 TOP = 2000
 #: Bytes of text of a block; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: Bytes of text of a bucket of the stored tables, which one task holds.
+BUCKET_BYTES = 16 << 20
 #: Frequent phrases are broadcast up to so many bytes, joined by a shuffle beyond.
 BROADCAST_BYTES = 32 << 20
 
@@ -143,7 +145,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     """((lang, phrase, words, f), (lang, n)): all phrases of up to ``max_words`` words that occur ``min_count`` times or more
     in their language, and the number of words of each language."""
     own = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"))
-    buckets = shared.partitions(docs.sparkSession, shared.text_bytes(own))
+    buckets = shared.partitions(docs.sparkSession, shared.text_bytes(own), BUCKET_BYTES)
     relation, out = Relation(single_words(own), buckets, moved=True), None
     totals = shared.materialise(relation.rows.groupBy("lang").agg(F.sum("n").alias("n")))
     for k in range(1, max_words + 1):
