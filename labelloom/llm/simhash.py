@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm import arrays, shared
+from labelloom.llm.buckets import bucket_links, small
 from labelloom.llm.components import components
-from labelloom.llm.lines import bucket_links, small
 
 SHINGLE_WORDS = 4
 RADIUS = 4

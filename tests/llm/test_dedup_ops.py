@@ -1,13 +1,15 @@
 """Window, byte and line dedup, sharding, chat and page operators against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
-from labelloom.llm import chat, lines, pages, queries, shuffle, substrings, suffixes
+from labelloom.llm import arrays, chat, lines, pages, queries, shuffle, substrings, suffixes
 
 LONG = " ".join(f"w{i % 977}é" for i in range(20000))
 SHARED = " ".join(f"s{i}" for i in range(45))
@@ -120,56 +122,80 @@ def test_cover_is_a_difference_cover():
     assert d == set(range(suffixes.PERIOD)) and len(suffixes.COVER) ** 2 - len(suffixes.COVER) == suffixes.PERIOD - 1
 
 
-def normal(line):
-    return re.sub(r"[ \t\r]+", " ", line.lower().strip(lines.EDGES))
+def edit(a, b):
+    """Edit distance, a column of the table at a time as the bits of one number."""
+    if not a or not b:
+        return max(len(a), len(b))
+    at, full, top = {}, (1 << len(a)) - 1, 1 << len(a) - 1
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    up, down, out = full, 0, len(a)
+    for x in b:
+        eq = at.get(x, 0)
+        diagonal = ((eq & up) + up ^ up) | eq | down
+        plus, minus = down | ~(diagonal | up) & full, up & diagonal
+        out += bool(plus & top) - bool(minus & top)
+        plus = plus << 1 | 1
+        up, down = (minus << 1 | ~((eq | down) | plus)) & full, plus & (eq | down) & full
+    return out
 
 
-def edit(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+def plain_fingerprints(line):
+    """Both fingerprints of a normalised line, bit by bit."""
+    line = line.ljust(3)
+    runs = []
+    for x in zip(line, line[1:], line[2:]):
+        h = sum(ord(c) * int(f) for c, f in zip(x, lines.RUN_FACTORS)) & (1 << 64) - 1
+        runs.append(int(arrays.mix(np.array([h], np.uint64))[0]))
+    more = [int(arrays.mix(np.array([h ^ int(lines.SECOND)], np.uint64))[0]) for h in runs]
+    return [sum((2 * sum(h >> b & 1 for h in hs) > len(hs)) << b for b in range(64)) for hs in (runs, more)]
+
+
+def met(a, b):
+    """Whether the pigeonhole search looks at two lines, given as (fingerprints, length)."""
+    (f, n), (g, m) = a, b
+    if sum((x ^ y).bit_count() for x, y in zip(f, g)) > lines.DISTANCE:
+        return False
+    for x, y in zip(f, g):
+        same = [i for i in range(8) if (x ^ y) >> 8 * i & 255 == 0]
+        if any(math.floor(math.log2(n) + i / 7) == math.floor(math.log2(m) + i / 7) for i in same[:-1]):
+            return True
+    return False
 
 
 def line_groups(spark, rows):
     """Kept texts by the definition: every pair of distinct normalised lines is looked at."""
     df = spark.createDataFrame([(d, t) for d, t in rows], "doc_id bigint, text string")
-    base = lines.fingerprinted(lines.documents(df)).collect()
-    text = {(d, t): None for d, t in rows}
-    th = {(r.doc_id, r.th): r.text for r in lines.documents(df).collect()}
-    place, fp, n_words = defaultdict(list), {}, {}
-    for r in base:
-        k = normal(th[r.doc_id, r.th].split("\n")[r.line_no])
-        place[k].append(((r.doc_id is not None, r.doc_id or 0), r.th, r.line_no))
-        fp[k], n_words[k] = r.fp, r.n_words
+    th = {(r.doc_id, r.text): r.th for r in lines.documents(df).collect()}
+    place = defaultdict(list)
+    for d, t in set(rows):
+        for no, line in enumerate((t or "").split("\n")):
+            if k := re.sub(r"[\W_]+", " ", line.lower()).strip(" "):
+                place[k].append(((d is not None, d or 0), th[d, t], no))
     up = {k: k for k in place}
 
     def top(k):
         while up[k] != k:
             k = up[k]
         return k
-    keys = [k for k in place if n_words[k] >= 5]
+    keys = [k for k in place if lines.word_count(k) >= 5]
+    prints = {k: (plain_fingerprints(k), len(k)) for k in keys}
     for i, a in enumerate(keys):
         for b in keys[:i]:
-            if ((fp[a] ^ fp[b]) & (1 << 64) - 1).bit_count() <= 3 and 5 * edit(a, b) <= max(len(a), len(b)):
+            if met(prints[a], prints[b]) and 5 * edit(a, b) <= max(len(a), len(b)):
                 up[top(a)] = top(b)
     first = {}
     for k, where in place.items():
         first[top(k)] = min(first.get(top(k), where[0]), *where)
     gone = {w for k, where in place.items() for w in where if w != first[top(k)]}
     out = Counter()
-    for d, t in text:
-        count = sum(1 for x in rows if x == (d, t))
+    for d, t in rows:
         if t is None:
-            out[d, 0, 0, None] += count
+            out[d, 0, 0, None] += 1
             continue
-        h = next(k[1] for k, v in th.items() if k[0] == d and v == t)
         parts = t.split("\n")
-        left = [x for i, x in enumerate(parts) if ((d is not None, d or 0), h, i) not in gone]
-        out[d, len(parts), len(parts) - len(left), "\n".join(left)] += count
+        left = [x for i, x in enumerate(parts) if ((d is not None, d or 0), th[d, t], i) not in gone]
+        out[d, len(parts), len(parts) - len(left), "\n".join(left)] += 1
     return out
 
 

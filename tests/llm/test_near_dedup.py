@@ -10,6 +10,31 @@ def shingles(text, width=5):
     return {tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))}
 
 
+def jaccard_groups(rows):
+    """{doc_id: smallest doc_id of its group} over all pairs with a Jaccard similarity of 0.8 or more."""
+    sets = [shingles(t or "") for _, t in rows]
+    up = list(range(len(rows)))
+    for b in range(len(rows)):
+        for a in range(b):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                low, high = sorted((up[a], up[b]))
+                up = [low if u == high else u for u in up]
+    return {rows[k][0]: min(rows[j][0] for j, v in enumerate(up) if v == u) for k, u in enumerate(up)}
+
+
+def test_a_group_above_the_small_bucket(docs):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = []
+    for k in range(45):
+        w = list(base)
+        for _ in range(k % 7):
+            w[rng.randrange(200)] = f"x{rng.randrange(10 ** 6)}"
+        rows.append((k, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(docs(rows)).collect()}
+    assert got == jaccard_groups(rows)
+
+
 def test_near_dedup_equals_brute_force_jaccard(docs):
     rng = random.Random(3)
     rows = []

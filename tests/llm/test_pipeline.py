@@ -6,7 +6,8 @@ import corpus_pipeline
 from labelloom.llm import quality, queries
 from pyspark.sql import functions as F
 from test_dedup_ops import line_groups
-from test_text_ops import contamination, digests, simhash_groups
+from test_near_dedup import jaccard_groups
+from test_text_ops import contamination, digests
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -18,7 +19,7 @@ def test_pipeline_equals_plain_steps(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in kept]
     assert 100 < len(rows) < 200
     lined = [(d, t) for (d, _, gone, t), n in line_groups(spark, rows).items() if not gone or t.strip()]
-    one = [(d, dict(lined)[d]) for d, _, low in simhash_groups(lined) if d == low]
+    one = [(d, dict(lined)[d]) for d, low in jaccard_groups(lined).items() if d == low]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     bad = {d for d, *_, hit in contamination(one, items) if hit}
     assert (len(bad), len(lined) - len(one)) > (0, 0), (len(rows), len(lined), len(one), len(bad))
