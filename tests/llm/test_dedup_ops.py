@@ -143,12 +143,13 @@ def edit(a, b):
 def plain_fingerprints(line):
     """Both fingerprints of a normalised line, bit by bit."""
     line = line.ljust(3)
-    runs = []
-    for x in zip(line, line[1:], line[2:]):
-        h = sum(ord(c) * int(f) for c, f in zip(x, lines.RUN_FACTORS)) & (1 << 64) - 1
-        runs.append(int(arrays.mix(np.array([h], np.uint64))[0]))
-    more = [int(arrays.mix(np.array([h ^ int(lines.SECOND)], np.uint64))[0]) for h in runs]
-    return [sum((2 * sum(h >> b & 1 for h in hs) > len(hs)) << b for b in range(64)) for hs in (runs, more)]
+    runs = [sum(ord(c) * int(f) for c, f in zip(x, lines.RUN_FACTORS)) & (1 << 64) - 1 for x in zip(line, line[1:], line[2:])]
+    out = []
+    runs = arrays.mix(np.array(runs, np.uint64))
+    for hashes in (runs, arrays.mix(runs ^ lines.SECOND)):
+        ones = [int((hashes >> np.uint64(b) & np.uint64(1)).sum()) for b in range(64)]
+        out.append(sum((2 * n > len(hashes)) << b for b, n in enumerate(ones)))
+    return out
 
 
 def met(a, b):
