@@ -145,7 +145,7 @@ def plain_fingerprints(line):
     line = line.ljust(3)
     runs = [sum(ord(c) * int(f) for c, f in zip(x, lines.RUN_FACTORS)) & (1 << 64) - 1 for x in zip(line, line[1:], line[2:])]
     out = []
-    runs = arrays.mix(np.array(runs, np.uint64))
+    runs = arrays.mix(np.array(sorted(set(runs)), np.uint64))
     for hashes in (runs, arrays.mix(runs ^ lines.SECOND)):
         ones = [int((hashes >> np.uint64(b) & np.uint64(1)).sum()) for b in range(64)]
         out.append(sum((2 * n > len(hashes)) << b for b, n in enumerate(ones)))
