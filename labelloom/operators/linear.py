@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from labelloom import settings
 from labelloom.functions import arrays as ar
-from labelloom.operators import metrics
+from labelloom.operators import batched, metrics
 from labelloom.session import materialise
 
 
@@ -115,43 +115,60 @@ def grid_search(df: DataFrame, grid: list[float] | None = None, evaluator: Evalu
                 tol: float = 1e-6, search_tol: float = SEARCH_TOL) -> GridResult:
     """Cross-validated choice of C on (label, fold, features), then a refit on all rows.
 
-    Class weights and regularisation follow each training part. The fits are independent
-    Spark jobs over one stored feature table; each caches the blocks it trains on, so
-    ``parallelism`` defaults to the number of copies that CACHE_BYTES hold. The search stops
-    a fit at ``search_tol``, the refit at ``tol``.
+    Class weights and regularisation follow each training part. All fits of the search share one pass over the rows per
+    iteration (``batched``); held-out rows are judged by macro-averaged F1. With an ``evaluator`` of the caller's the fits
+    are separate Spark ML jobs, ``parallelism`` at a time, and it judges each one's predictions. The search stops a fit at
+    ``search_tol``, the refit at ``tol``.
     """
     grid = grid or settings.C_GRID
-    judge = evaluator or MacroF1()
     spark = df.sparkSession
     features = df.select("label", "fold", "features")
-    parallelism = parallelism or fits_at_once(features)
+    if evaluator is None:
+        scores = _search_batched(features, grid, max_iter, search_tol)
+    else:
+        scores = _search_separately(features, grid, evaluator, parallelism or fits_at_once(features), max_iter, search_tol)
+    rows = spark.createDataFrame(scores, "c double, fold int, macro_f1 double")
+    table = (rows.groupBy("c").agg(F.avg("macro_f1").alias("mean_macro_f1"),
+                                   F.stddev_pop("macro_f1").alias("std_macro_f1"),
+                                   F.count(F.lit(1)).alias("folds")))
+    by_c = {c: [s for g, _, s in scores if g == c] for c in grid}
+    best = max(grid, key=lambda c: sum(by_c[c]) / len(by_c[c]))  # first wins ties
+    table = table.withColumn("is_best", F.col("c") == F.lit(best))
+    return GridResult(table, best, fit(features, best, max_iter, tol))
+
+
+def _search_batched(features: DataFrame, grid: list[float], max_iter: int, tol: float) -> list[tuple[float, int, float]]:
+    """(c, fold, macro F1) of every cell of the search: one job per iteration for all fits, one pass to judge them."""
+    packed = batched.pack(features)
+    shape = features.agg(F.max("label").alias("label"), F.max(F.unwrap_udt("features")["size"]).alias("size")).first()
+    folds = [r.fold for r in features.select("fold").distinct().orderBy("fold").collect()]
+    fits = [batched.Fit(f, c) for c in grid for f in folds]
+    found, _ = batched.solve(packed, fits, max(settings.NUM_CLASSES, shape.label + 1), shape["size"], max_iter, tol)
+    judged = batched.held_out(packed, fits, found)
+    flat = metrics.flat_metrics(metrics.confusion_record(judged, ["c", "fold"]), ["c", "fold"])
+    return [(r.c, r.fold, r.macro_f1) for r in flat.select("c", "fold", "macro_f1").collect()]
+
+
+def _search_separately(features: DataFrame, grid: list[float], judge: Evaluator, parallelism: int, max_iter: int,
+                       tol: float) -> list[tuple[float, int, float]]:
+    """The same cells by separate Spark ML fits over one stored feature table; each caches the blocks it trains on."""
+    spark = features.sparkSession
     cells = features.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()  # folds x classes
     folds = sorted({r.fold for r in cells})
 
-    def sizes_without(fold: int | None) -> dict[int, int]:
+    def score(task: tuple[int, float]) -> tuple[float, int, float]:
+        fold, c = task
         sizes: dict[int, int] = {}
         for r in cells:
             if r.fold != fold:
                 sizes[r.label] = sizes.get(r.label, 0) + r.n
-        return sizes
-
-    def score(task: tuple[int, float]) -> tuple[float, int, float]:
-        fold, c = task
-        model = fit(features.where(F.col("fold") != fold), c, max_iter, search_tol, sizes_without(fold))
+        model = fit(features.where(F.col("fold") != fold), c, max_iter, tol, sizes)
         return c, fold, judge.evaluate(predict(features.where(F.col("fold") == fold), model))
 
     # The weakest regularisation takes the most iterations, so it is started first.
     tasks = [(f, c) for c in sorted(grid, reverse=True) for f in folds]
     with ThreadPoolExecutor(parallelism) as pool:
-        scores = list(pool.map(inheritable_thread_target(spark)(score), tasks))
-    rows = spark.createDataFrame(scores, "c double, fold int, macro_f1 double")
-    table = (rows.groupBy("c").agg(F.avg("macro_f1").alias("mean_macro_f1"),
-                                   F.stddev_pop("macro_f1").alias("std_macro_f1"),
-                                   F.count(F.lit(1)).alias("folds")))
-    by_c = {c: [s for g, _, s in scores if g == c] for c in grid}
-    best = max(grid, key=lambda c: sum(by_c[c]) / len(by_c[c]))  # first wins ties
-    table = table.withColumn("is_best", F.col("c") == F.lit(best))
-    return GridResult(table, best, fit(features, best, max_iter, tol, sizes_without(None)))
+        return list(pool.map(inheritable_thread_target(spark)(score), tasks))
 
 
 def save(model: LogisticRegressionModel, path: str) -> None:

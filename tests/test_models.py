@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from labelloom import settings
 from labelloom.functions import arrays as ar
-from labelloom.operators import compare, linear, metrics, neural
+from labelloom.operators import batched, compare, linear, metrics, neural
 from labelloom.plans import charts, experiment, preprocess
 from labelloom.sources import artifacts, corpus as store, results
 from labelloom.streaming.score import score_stream
@@ -108,6 +108,38 @@ def test_fit_matches_descent(spark):
     assert np.abs((got - got.mean()) - (b0 - b0.mean())).max() < 1e-4
 
 
+def test_batched_fits_equal_separate_ones(spark, monkeypatch):
+    rows, df = features(spark)
+    monkeypatch.setattr(batched, "BLOCK_VALUES", 40)
+    monkeypatch.setattr(batched, "DENSE_CELLS", 60)
+    monkeypatch.setattr(batched, "TASK_BYTES", 300)
+    monkeypatch.setattr(batched, "FAN_IN", 2)
+    packed = batched.pack(df.select("label", "fold", "features").repartition(6))
+    fits = [batched.Fit(f, c) for f in (0, 2, None) for c in (0.05, 0.7)]
+    found, jobs = batched.solve(packed, fits, 3, df.first().features.size, 500, 1e-14)
+    assert jobs < 400
+    for f, got in zip(fits, found):
+        part = df if f.fold is None else df.where(F.col("fold") != f.fold)
+        model = linear.fit(part, f.c, tol=1e-14)
+        want, free = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+        assert np.abs((got[:, :-1] - got[:, :-1].mean(0)) - (want - want.mean(0))).max() < 1e-5
+        assert np.abs((got[:, -1] - got[:, -1].mean()) - (free - free.mean())).max() < 1e-5
+
+
+def test_grid_search_is_the_same_batched_and_separate(spark):
+    _, df = features(spark)
+    both = [linear.grid_search(df, [0.01, 0.5, 5.0], evaluator=e, search_tol=1e-10) for e in (None, linear.MacroF1())]
+    tables = [{r.c: (round(r.mean_macro_f1, 9), round(r.std_macro_f1, 9), r.folds, r.is_best) for r in b.table.collect()} for b in both]
+    assert tables[0] == tables[1] and both[0].best_c == both[1].best_c
+
+
+def test_batched_states_are_bounded(spark, monkeypatch):
+    _, df = features(spark)
+    monkeypatch.setattr(batched, "MAX_STATE_BYTES", 1000)
+    with pytest.raises(ValueError, match="MAX_STATE_BYTES"):
+        linear.grid_search(df, [1.0])
+
+
 def test_grid_search_and_storage(spark, tmp_path):
     _, df = features(spark)
     result = linear.grid_search(df, [0.01, 1.0], parallelism=2)
