@@ -1,7 +1,7 @@
 """Main text of web pages, with site templates found by counting element subtrees per host.
 
-Every element's subtree is hashed (tag names and texts, bottom up). Spark counts on how many pages of its host each hash
-occurs; a subtree on many of them is template and is deleted. Two kinds of element need no count: those that HTML itself
+Every element's subtree is hashed (its place, that is the tags above it, and tag names and texts, bottom up). Spark counts
+on how many different pages of its host each hash occurs; a subtree on many of them is template and is deleted. Two kinds of element need no count: those that HTML itself
 or their class or id marks as navigation, header, footer, sidebar, notice, advert, form, script or comments.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,11 @@ from pyspark.sql import functions as F
 
 from labelloom.llm import shared
 
-#: A block is template if it is on so many pages of its host and on such a share of them, or on MANY_PAGES of them.
+#: A container is template if it is on so many pages of its host and on such a share of them, or on MANY_PAGES of them.
 MIN_PAGES = 5
 MIN_SHARE = 0.02
 MANY_PAGES = 200
-#: Elements inside a line of text and cells, which may well recur in what pages say, need such a share.
+#: Elements inside a line of text, cells and single texts, which may well recur in what pages say, need such a share.
 PART_SHARE = 0.2
 #: Template hashes of 8 bytes, shipped to every task up to this number, joined by page beyond.
 BROADCAST_HASHES = 1_000_000
@@ -35,6 +36,9 @@ BLOCKS = frozenset(("address article aside blockquote body br caption center dd
                     "header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul").split())
 #: Blocks that are parts of a larger one.
 CELLS = frozenset("br caption dd dt li option tbody td tfoot th thead tr".split())
+#: Blocks that hold one text. Headings go only with a container: a section may be called alike on every page.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEAVES = HEADINGS | frozenset("p pre blockquote figcaption hgroup summary".split())
 #: A start tag of the key closes an open element of these, up to the given borders.
 ENDS_P = BLOCKS - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option"}
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -50,10 +54,10 @@ WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "marked", "parts", "main", "inside", "spared", "hash")
+    __slots__ = ("tag", "marked", "parts", "main", "inside", "spared", "place", "hash")
 
-    def __init__(self, tag: str, marked: bool, inside: bool, spared: bool = False):
-        self.tag, self.marked, self.inside, self.spared = tag, marked, inside, spared
+    def __init__(self, tag: str, marked: bool, inside: bool, spared: bool = False, place: int = 0):
+        self.tag, self.marked, self.inside, self.spared, self.place = tag, marked, inside, spared, place
         self.parts: list = []
         self.main, self.hash = tag in MAIN or tag == "h1", 0
 
@@ -74,7 +78,7 @@ def parse(html: str) -> Node:
     def close(k: int) -> None:
         while len(stack) > k:
             node = stack.pop()
-            digest = hashlib.blake2b(node.tag.encode(), digest_size=8)
+            digest = hashlib.blake2b(b"%d " % node.place + node.tag.encode("utf-8", "replace"), digest_size=8)
             for p in node.parts:
                 digest.update(b"\0" + " ".join(p.split()).encode("utf-8", "replace") if isinstance(p, str) else b"\1%d" % p.hash)
                 if not isinstance(p, str) and p.main:
@@ -115,7 +119,8 @@ def parse(html: str) -> Node:
         if tag in CLOSES:
             up_to(*CLOSES[tag])
         top = stack[-1]
-        node = Node(tag, marked(attributes) if attributes else False, top.inside or top.tag in MAIN, top.spared or top.tag in ("article", "h1"))
+        place = top.place if top.tag in ("#root", "html", "body") else zlib.crc32(top.tag.encode("utf-8", "replace"), top.place)
+        node = Node(tag, marked(attributes) if attributes else False, top.inside or top.tag in MAIN, top.spared or top.tag in ("article", "h1"), place)
         top.parts.append(node)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
@@ -142,17 +147,17 @@ def ruled_out(node: Node) -> bool:
 
 
 def whole(node: Node) -> bool:
-    """Whether the element is a block of its own."""
-    return node.tag in BLOCKS and node.tag not in CELLS
+    """Whether the element is a container of its own, neither part of a larger one nor a single text."""
+    return node.tag in BLOCKS and node.tag not in CELLS and node.tag not in LEAVES
 
 
 def deletable(node: Node) -> bool:
-    """Whether a recurring element may go: none that is in, is or holds an article, main or h1; in main only whole blocks."""
-    return not node.spared and not node.main and node.tag not in MAIN and (whole(node) or not node.inside)
+    """Whether a recurring element may go: none that is in, is or holds an article, main or h1; no heading alone; in main only containers."""
+    return not node.spared and not node.main and node.tag not in MAIN and node.tag not in HEADINGS and (whole(node) or not node.inside)
 
 
 def subtrees(root: Node) -> dict[int, bool]:
-    """Hashes of all elements that may be template, and whether each is a whole block."""
+    """Hashes of all elements that may be template, and whether each is a container."""
     out, todo = {}, [root]
     while todo:
         node = todo.pop()
@@ -197,31 +202,36 @@ def _key(host: str | None, subtree: int) -> int:
 
 
 def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(page_id, url, html, host, at): ``at`` tells rows of one id apart by a hash of what they hold."""
+    """(page_id, url, html, host, at, body): ``at`` tells rows of one id apart by a hash of what they hold, ``body`` is that of the html alone."""
     url = F.col(f"`{url_col}`").cast("string")
     rest = F.regexp_replace(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*:", "")
     host = F.lower(F.regexp_extract(rest, r"^//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     return pages.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), url.alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"),
-                        F.coalesce(host, F.lit("")).alias("host"), F.xxhash64(url, F.col(f"`{html_col}`").cast("string")).alias("at"))
+                        F.coalesce(host, F.lit("")).alias("host"), F.xxhash64(url, F.col(f"`{html_col}`").cast("string")).alias("at"), F.xxhash64(F.col(f"`{html_col}`").cast("string")).alias("body"))
 
 
 def templates(rows: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES, part_share: float = PART_SHARE) -> tuple[DataFrame, DataFrame]:
-    """(template keys, (page_id, at, host, key, whole) of all subtrees); a key is a hash of host and subtree."""
+    """(template keys, (page_id, at, host, body, key, whole) of all subtrees); a key is a hash of host and subtree.
+
+    Pages of a host that hold the same html, repeated rows, mirrors and print views among them, count as one page.
+    """
     def run(batches):
         for b in batches:
-            ids, at, hosts, keys, blocks = [], [], [], [], []
-            for i, a, host, text in zip(*(b.column(c).to_pylist() for c in ("page_id", "at", "host", "html"))):
+            ids, at, hosts, bodies, keys, blocks = [], [], [], [], [], []
+            for i, a, host, body, text in zip(*(b.column(c).to_pylist() for c in ("page_id", "at", "host", "body", "html"))):
                 found = sorted((_key(host, h), w) for h, w in subtrees(parse(text or "")).items())
                 ids += [i] * len(found)
                 at += [a] * len(found)
                 hosts += [host] * len(found)
+                bodies += [body] * len(found)
                 keys += [k for k, _ in found]
                 blocks += [w for _, w in found]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(blocks, pa.bool_())], ["page_id", "at", "host", "key", "whole"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(hosts, pa.string()), pa.array(bodies, pa.int64()), pa.array(keys, pa.int64()), pa.array(blocks, pa.bool_())],
+                                             ["page_id", "at", "host", "body", "key", "whole"])
 
-    found = shared.materialise(rows.select("page_id", "at", "host", "html").mapInArrow(run, "page_id bigint, at bigint, host string, key bigint, whole boolean"))
-    counted = found.groupBy("host", "key", "whole").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    hosts = rows.groupBy("host").agg(F.count("*").alias("pages"))
+    found = shared.materialise(rows.select("page_id", "at", "host", "body", "html").mapInArrow(run, "page_id bigint, at bigint, host string, body bigint, key bigint, whole boolean"))
+    counted = found.select("host", "key", "whole", "body").distinct().groupBy("host", "key", "whole").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    hosts = rows.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     needed = F.when(F.col("whole"), F.least(F.col("pages") * F.lit(min_share), F.lit(float(many_pages)))).otherwise(F.col("pages") * F.lit(part_share))
     kept = counted.join(hosts, "host").where(F.col("n") >= needed).select("key").distinct()
     return shared.materialise(kept), found
@@ -232,8 +242,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Null or empty html gives an empty text. Pages without a readable host share one empty host. Template deletion never
     reaches into an article or h1 element, or takes away one of these or a main: what recurs there is content. Of what is
-    inside main only whole blocks are deleted. Repeated rows are returned as
-    often as they come; rows under one page_id are told apart by their content. Other columns are ignored.
+    inside main only containers are deleted, and headings nowhere but with a container. Repeated rows are returned as
+    often as they come and, like other pages of a host with equal html, count as one page when templates are sought; rows
+    under one page_id are told apart by their content. An empty table gives no row. Other columns are ignored.
     """
     rows = _pages(pages, id_col, url_col, html_col)
     keys, found = templates(rows)
