@@ -14,7 +14,7 @@ from labelloom.catalog.tables import Tables
 from labelloom.functions import arrays as ar
 from labelloom.functions import chars
 from labelloom.functions import text as tx
-from labelloom.operators import compare, linear, metrics, neural, selection, split, tfidf
+from labelloom.operators import compare, heavy, linear, metrics, neural, selection, split, tfidf
 from labelloom.plans import ablation, experiment, preprocess
 from labelloom.session import materialise, shared_dir
 from labelloom.streaming.score import score_stream
@@ -47,6 +47,12 @@ def vocabulary(t: Tables):
     return tfidf.vocabulary(stats, train.count()).select("term", "idx", "ctf", "df")
 
 
+@query("vocabulary_summary", f"WITH {q.PREPARED}, {q.COUNTS}, {q.vocabulary(size=1000)} SELECT term, idx, ctf, df FROM voc")
+def vocabulary_summary(t: Tables):
+    """The 1,000 most frequent terms by sketches and a second, exact pass."""
+    return heavy.fit(_halves(t)[0], 1000).vocab.select("term", "idx", "ctf", "df")
+
+
 @query("tfidf_fit", f"""
 WITH {q.PREPARED}, {q.COUNTS}, {q.vocabulary()}
 SELECT term, idx, ctf, df, round(idf, 6) AS idf, (SELECT n FROM nd) AS n_docs FROM voc""")

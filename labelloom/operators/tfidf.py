@@ -85,19 +85,27 @@ def term_stats(df: DataFrame, how: Vectorizer = Vectorizer()) -> DataFrame:
     return pairs.groupBy("term").agg(F.count(F.lit(1)).alias("ctf"), F.sum(first).alias("df"))
 
 
+def band(ctf: Column) -> Column:
+    return F.floor(F.log2(ctf) * 8)
+
+
+def band_of(stats: DataFrame, k: int) -> int | None:
+    """The lowest band of ``ctf`` that the ``k`` terms of highest ``ctf`` reach into; None without terms."""
+    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
+    return (stats.groupBy(band(F.col("ctf")).alias("band")).agg(F.count(F.lit(1)).alias("n"))  # a few hundred bands
+            .withColumn("_above", F.coalesce(F.sum("n").over(above), F.lit(0)))
+            .where(F.col("_above") < k).agg(F.min("band")).first()[0])
+
+
 def most_frequent(stats: DataFrame, k: int) -> DataFrame:
     """The ``k`` terms of highest ``ctf``, ties to the lower term; ``stats`` is a stored table.
 
     A top-k merges k rows of every partition in one task. Terms that cannot qualify are
     left out before: counts per band of ``ctf`` show the lowest band that is still needed.
     """
-    band = F.floor(F.log2("ctf") * 8)
-    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
-    needed = (stats.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"))  # a few hundred bands
-              .withColumn("_above", F.coalesce(F.sum("n").over(above), F.lit(0)))
-              .where(F.col("_above") < k).agg(F.min("band")).first()[0])
+    needed = band_of(stats, k)
     if needed is not None:
-        stats = stats.where(band >= needed)
+        stats = stats.where(band(F.col("ctf")) >= needed)
     return stats.orderBy(F.desc("ctf"), F.asc("term")).limit(k)
 
 
