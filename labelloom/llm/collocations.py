@@ -28,7 +28,7 @@ TOP = 2000
 #: Bytes of text of a block; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
 #: Bytes of text of a bucket of the stored tables, which one task holds.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Frequent phrases are broadcast up to so many bytes, joined by a shuffle beyond.
 BROADCAST_BYTES = 32 << 20
 
@@ -116,10 +116,11 @@ def extended(relation: DataFrame, frequent: DataFrame, k: int) -> DataFrame:
     """
     def run(batches):
         for b in batches:
-            for block, lang, at, code, good, phrases in zip(*(b.column(c).to_pylist() for c in ("block", "lang", "places", "codes", "good")), b.column("phrases")):
-                at, code = places(at), codes(code)
+            # one block at a time: only its own arrays are unpacked
+            for block, lang, at, code, good, phrases in zip(*(b.column(c) for c in ("block", "lang", "places", "codes", "good", "phrases"))):
+                block, lang, at, code = block.as_py(), lang.as_py(), places(at.as_py()), codes(code.as_py())
                 keep = np.zeros(len(phrases.values), bool)
-                keep[good] = True
+                keep[good.values.to_numpy(zero_copy_only=False)] = True
                 stays = keep[code]
                 at, code = at[stays], code[stays].astype(np.int64)
                 # both sides are in order of the places, so equal places are found by one pass
