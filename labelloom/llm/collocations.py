@@ -9,14 +9,13 @@ stay where they are. Phrases are compared as strings, counts are exact.
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.llm import arrays, shared
@@ -143,13 +142,6 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let the driver drop the shuffle files of finished rounds, each as large as a relation: it does so for jobs that
-    nothing refers to any more, when it collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, words, f), (lang, n)): all phrases of up to ``max_words`` words that occur ``min_count`` times or more
     in their language, and the number of words of each language."""
@@ -157,7 +149,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     spark = docs.sparkSession
     buckets = shared.partitions(spark, shared.text_bytes(own), BUCKET_BYTES)
     relation, out = Relation(single_words(own), buckets, moved=True), None
-    free_shuffles(spark)
+    shared.free_shuffles(spark)
     totals = shared.materialise(relation.rows.groupBy("lang").agg(F.sum("n").alias("n")))
     for k in range(1, max_words + 1):
         entries = relation.rows.select("block", "lang", F.posexplode(F.arrays_zip("phrases", "counts")).alias("code", "e")).select("block", "lang", "code", F.col("e.phrases").alias("phrase"), F.col("e.counts").alias("n"))
@@ -172,7 +164,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
         relation.drop()
         relation = longer
         del entries, known, found
-        free_shuffles(spark)
+        shared.free_shuffles(spark)
     relation.drop()
     return out, totals
 

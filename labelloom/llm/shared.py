@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,3 +30,10 @@ def text_bytes(docs: DataFrame) -> int:
 def partitions(spark: SparkSession, n_bytes: int, each: int = PARTITION_BYTES) -> int:
     """Shuffle partitions for so many bytes: never fewer than the session's own number."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // each))
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver drop the shuffle files of finished rounds, each as large as a relation: it does so for jobs that
+    nothing refers to any more, when it collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
