@@ -3,7 +3,8 @@
 Fit counts in the row that holds the document: its sorted terms are exploded with a mark on
 the first of each run, so one aggregate per term, folded on the map side, gives both corpus
 and document frequency and no text is shuffled. Transform needs no shuffle either: the
-vocabulary is bounded by ``max_features`` and lives in a Spark ML ``CountVectorizerModel``.
+vocabulary is bounded by ``max_features`` and lives in a Spark ML ``CountVectorizerModel``. Above
+a measured size it stays a table that the terms are joined with.
 """
 
 from __future__ import annotations
@@ -148,7 +149,7 @@ class Tfidf:
         """The term counter and the idf array: at most ``max_features`` rows of checked size."""
         if not self.shippable:
             raise ValueError(f"a vocabulary of {self.n_bytes} bytes is above MAX_BROADCAST_BYTES ({settings.MAX_BROADCAST_BYTES}): "
-                             "lower max_features, or use weights_by_join")
+                             "a stream has to be scored batch by batch (streaming.score does)")
         rows = self.vocab.orderBy("idx").select("term", "idf").collect()
         counter = CountVectorizerModel.from_vocabulary(
             [r.term for r in rows], inputCol="_terms", outputCol="_tf")
@@ -200,12 +201,15 @@ def weights_by_join(df: DataFrame, model: Tfidf, keep: list[str] | None = None)
 def transform(df: DataFrame, model: Tfidf) -> DataFrame:
     """Add ``indices`` and ``weights`` (tf, smoothed idf, unit length) to each row.
 
-    A projection for tables and streams alike. Unknown terms are ignored; a document without
-    any known term gets empty arrays. A vocabulary too large to ship raises a ValueError.
+    Unknown terms are ignored; a document without any known term gets empty arrays. Up to
+    MAX_BROADCAST_BYTES of vocabulary this is a projection for tables and streams alike; beyond,
+    a table goes through :func:`transform_by_join` and a stream raises a ValueError.
     """
     if not model.size:
         return df.withColumn("indices", F.array().cast("array<int>")).withColumn(
             "weights", F.array().cast("array<double>"))
+    if not model.shippable and not df.isStreaming:
+        return transform_by_join(df, model)
     counter, idf = model.counter
     counted = counter.transform(with_terms(df, "_terms", model.how)).withColumn("_s", F.unwrap_udt("_tf"))
     raw = F.zip_with(F.col("_s.values"), F.col("_s.indices"),
@@ -215,6 +219,23 @@ def transform(df: DataFrame, model: Tfidf) -> DataFrame:
                    .drop("_terms", "_tf", "_s", "_raw"))
 
 
+def transform_by_join(df: DataFrame, model: Tfidf) -> DataFrame:
+    """:func:`transform` for a vocabulary of any size, with texts only in the map stages.
+
+    The rows are stored under an id of their own, so that input rows may repeat and need no
+    key; what is gathered again per row is one document's distinct terms.
+    """
+    rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()))
+    weights = weights_by_join(rows.select(F.col("_row").alias("row_id"), "text"), model)
+    entries = F.array_sort(F.collect_list(F.struct("idx", "weight")))
+    found = weights.groupBy("row_id").agg(entries.alias("_e")).withColumnRenamed("row_id", "_id")
+    none = {"indices": "array<int>", "weights": "array<double>"}
+    parts = {"indices": "_e.idx", "weights": "_e.weight"}
+    return rows.join(found, F.col("_row") == F.col("_id"), "left").select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        *[F.coalesce(F.col(parts[c]), F.array().cast(t)).alias(c) for c, t in none.items()])
+
+
 def with_vectors(df: DataFrame, model: Tfidf, out: str = "features") -> DataFrame:
     """Add the sparse ML vector of each row."""
     return (transform(df, model)

@@ -18,7 +18,8 @@ from labelloom.sources import results
 class TextScorer:
     """Cleaning, features and classifier as one function of a DataFrame (batch or stream).
 
-    Scoring is a projection: no shuffle, no state.
+    Scoring is a projection, without shuffle or state, up to MAX_BROADCAST_BYTES of vocabulary;
+    a larger one is joined.
     """
 
     features: tfidf.Tfidf

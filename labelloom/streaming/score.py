@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -14,13 +14,21 @@ def score_stream(spark: SparkSession, source: str, schema: StructType, scorer: T
                  files_per_trigger: int = 1000, **source_options: str) -> StreamingQuery:
     """Score all Parquet files available at ``source`` into the Parquet folder ``sink``.
 
-    The batch scoring plan is a stateless projection, so it runs on the stream unchanged;
-    the file sink with its ``progress`` folder gives each input file exactly one output,
-    also after a restart. Both folders must be on shared storage.
+    With a vocabulary of shippable size the batch scoring plan is a stateless projection, so it
+    runs on the stream unchanged; the file sink with its ``progress`` folder gives each input
+    file exactly one output, also after a restart. A larger vocabulary is joined, one batch of
+    files at a time; a batch overwrites its own folder ``batch=<number>`` when it is repeated.
+    Both folders must be on shared storage, and one sink takes one of the two forms.
     """
     arriving = (spark.readStream.schema(schema).options(**source_options)
                 .option("maxFilesPerTrigger", files_per_trigger).parquet(source))
-    scored = scorer.score(arriving.withColumnRenamed(text, "text").select(*(keep or []), "text"))
-    return (scored.writeStream.format("parquet").outputMode("append")
+    rows = arriving.withColumnRenamed(text, "text").select(*(keep or []), "text")
+    if scorer.features.size and not scorer.features.shippable:
+        def write_batch(batch: DataFrame, number: int) -> None:
+            scorer.score(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+        return (rows.writeStream.foreachBatch(write_batch).option("checkpointLocation", progress)
+                .trigger(availableNow=True).start())
+    return (scorer.score(rows).writeStream.format("parquet").outputMode("append")
             .option("path", sink).option("checkpointLocation", progress)
             .trigger(availableNow=True).start())

@@ -196,9 +196,27 @@ def test_scorer_round_trip_and_limit(spark, scorer, tmp_path, monkeypatch):
     again = experiment.TextScorer.load(spark, f"{tmp_path}/scorer")
     key = lambda d: sorted((r.row_id, r.pred, r.confidence) for r in d.collect())
     assert key(again.predict(rows)) == key(model.predict(rows))
+    both = lambda: [key(model.predict(rows)), key(experiment.fit_scorer(rows).predict(rows))]
+    shipped = both()
     monkeypatch.setattr(settings, "MAX_BROADCAST_BYTES", 0)
-    with pytest.raises(ValueError, match="MAX_BROADCAST_BYTES"):
-        experiment.fit_scorer(rows)
+    for joined, plain in zip(both(), shipped):
+        assert [r[:2] for r in joined] == [r[:2] for r in plain]
+        assert all(abs(a[2] - b[2]) < 1e-6 for a, b in zip(joined, plain))
+
+
+def test_a_joined_vocabulary_scores_repeated_rows_and_streams(spark, scorer, tmp_path, monkeypatch):
+    model, _ = scorer
+    plain = spark.createDataFrame([(1, "राम्रो https://x.y"), (1, "राम्रो https://x.y"), (3, None), (4, "अज्ञात"), (5, "नराम्रो")], "id int, text string")
+    key = lambda d: sorted((r.id, r.pred_name, round(r.confidence, 9)) for r in d.collect())
+    shipped = key(model.score(plain))
+    monkeypatch.setattr(settings, "MAX_BROADCAST_BYTES", 0)
+    assert key(model.score(plain)) == shipped
+    assert model.score(plain.limit(0)).collect() == []
+    plain.write.parquet(f"{tmp_path}/in")
+    args = (spark, f"{tmp_path}/in", plain.schema, model, f"{tmp_path}/out", f"{tmp_path}/progress")
+    for _ in range(2):  # the second run finds no new files and adds nothing
+        score_stream(*args, keep=["id"]).awaitTermination()
+    assert key(spark.read.parquet(f"{tmp_path}/out")) == shipped
 
 
 def test_scoring_plan_is_map_only(spark, scorer):
