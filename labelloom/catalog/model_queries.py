@@ -283,16 +283,31 @@ ra AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, k) AS r
               max(z) OVER (PARTITION BY vec_id) AS mx FROM lo)"""
 
 
-@query("batch_score", f"""
+_BATCH_SCORE = f"""
 WITH {_CENTROIDS} SELECT vec_id, CAST(max(CASE WHEN r = 1 THEN k END) AS INTEGER) AS pred,
-  round(1 / sum(exp(z - mx)), 6) AS confidence FROM ra GROUP BY vec_id""")
-def batch_score(t: Tables):
-    vectors = t.table("embeddings")
-    head = neural.linear_head(*neural.centroid_head(vectors, "embedding", "label", 64))
+  round(1 / sum(exp(z - mx)), 6) AS confidence FROM ra GROUP BY vec_id"""
+
+
+def _batch_scored(vectors, head):
     scored = neural.batch_score(vectors, head, "embedding", 64)
     return scored.select("vec_id", "pred", F.round("confidence", 6).alias("confidence"))
 
 
+@query("batch_score", _BATCH_SCORE)
+def batch_score(t: Tables):
+    vectors = t.table("embeddings")
+    return _batch_scored(vectors, neural.linear_head(*neural.centroid_head(vectors, "embedding", "label", 64)))
+
+
+@query("batch_score_file", _BATCH_SCORE)
+def batch_score_file(t: Tables):
+    """The same head, stored as a model file that the executors load."""
+    vectors = t.table("embeddings")
+    path = f"{shared_dir(t.spark)}/head-{uuid.uuid4().hex}.npz"
+    neural.save_head(t.spark, path, *neural.centroid_head(vectors, "embedding", "label", 64))
+    return _batch_scored(vectors, neural.model_file(t.spark, path))
+
+
 def _dense(t: Tables):
     train, test = _halves(t)
     parts = split.stratified_split(train, share=0.2, seed=7)

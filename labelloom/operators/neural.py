@@ -6,10 +6,12 @@ and metrics stay column expressions.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import SparkFiles
 from pyspark.ml.classification import (
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
@@ -53,6 +55,40 @@ def linear_head(weights: np.ndarray, bias: np.ndarray) -> Callable:
     return load
 
 
+def save_head(spark: SparkSession, path: str, weights: np.ndarray, bias: np.ndarray) -> None:
+    """Write a linear head as an .npz file to any file system that Spark reaches; an existing file stays and raises."""
+    packed = io.BytesIO()
+    np.savez(packed, weights=weights, bias=bias)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, False)
+    try:
+        out.write(bytearray(packed.getvalue()))
+    finally:
+        out.close()
+
+
+def read_head(path: str) -> Callable:
+    """The forward pass of a file that :func:`save_head` wrote."""
+    with np.load(path, allow_pickle=False) as held:
+        return linear_head(held["weights"], held["bias"])()
+
+
+def model_file(spark: SparkSession, path: str, read: Callable[[str], Callable] = read_head) -> Callable:
+    """A model factory for :func:`batch_logits` from one file on storage, which must exist.
+
+    Spark sends the file to each executor once and each Python worker calls ``read`` once, with
+    the path of its copy; the weights travel neither in the plan nor in a closure. ``read`` returns
+    the forward pass, so any file format fits. Files are told apart by their base names: two
+    models of one application need different ones.
+    """
+    spark.sparkContext.addFile(path)
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+
+    def load() -> Callable:
+        return read(SparkFiles.get(name))
+    return load
+
+
 def batch_logits(df: DataFrame, load_model: Callable, features: str, width: int,
                  batch_size: int = settings.BATCH_SIZE, out: str = "logits") -> DataFrame:
     """Add model outputs. The model is loaded once per Python worker and called per batch."""

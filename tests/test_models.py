@@ -1,6 +1,8 @@
 """Linear model, metrics, comparison, neural scoring, streaming and storage."""
 
+import os
 import random
+import uuid
 
 import numpy as np
 import pytest
@@ -283,6 +285,35 @@ def test_softmax_argmax_padding(spark):
     assert (rows[1].ids, rows[1].m) == ([1, 2, 3, 4], [1, 1, 1, 1])
 
 
+def test_a_model_file_scores_like_the_closure_and_loads_once_per_worker(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    w, b = rng.normal(size=(3, 4)), rng.normal(size=3)
+    path, loads = f"{tmp_path}/head-of-test.npz", str(tmp_path / "loads")
+    os.mkdir(loads)
+    neural.save_head(spark, path, w, b)
+    with pytest.raises(Exception, match="exists"):
+        neural.save_head(spark, path, w, b)
+
+    def read(local):
+        open(f"{loads}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        with np.load(local) as held:
+            weights, bias = held["weights"], held["bias"]
+        return lambda x: x.astype("float64") @ weights.T + bias
+
+    df = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=4)]) for i in range(500)], "id int, v array<double>").repartition(16)
+    key = lambda d: sorted((r.id, r.pred, r.confidence) for r in d.collect())
+    want = key(neural.batch_score(df, neural.linear_head(w, b), "v", 4))
+    assert key(neural.batch_score(df, neural.model_file(spark, path), "v", 4)) == want
+    assert key(neural.batch_score(df, neural.model_file(spark, path, read), "v", 4, batch_size=8)) == want
+    workers = [x.split("-")[0] for x in os.listdir(loads)]
+    assert 0 < len(workers) == len(set(workers))
+
+
+def test_a_missing_model_file_raises(spark, tmp_path):
+    with pytest.raises(Exception, match="none.npz"):
+        neural.model_file(spark, f"{tmp_path}/none.npz")
+
+
 def test_batch_score(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(50, 4)).astype("float32")
