@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelloom.functions import text as tx
+from labelloom.sources import snapshots
 
 RAW_SCHEMA = T.StructType([
     T.StructField("Unnamed: 0", T.LongType()),
@@ -64,14 +65,16 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
 
 
 def write_splits(df: DataFrame, path: str) -> None:
-    """Idempotent overwrite; one folder per split so that readers prune partitions."""
-    (df.select("row_id", "text", "label", "split")
-       .write.mode("overwrite").partitionBy("split").parquet(path))
+    """Replace the table in one step; one folder per split so that readers prune partitions."""
+    rows = df.select("row_id", "text", "label", "split")
+    snapshots.replace(df.sparkSession, path, lambda to: rows.write.partitionBy("split").parquet(to))
 
 
 def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """One split of the processed table; raises when the split was never written."""
-    table = spark.read.schema(SPLIT_SCHEMA).parquet(path).where(F.col("split") == split)
+    """One split of the table as published last; raises when the split was never written."""
+    # without a version the missing folder of published names is what raises
+    stored = snapshots.current(spark, path) or f"{path}/{snapshots.PUBLISHED}"
+    table = spark.read.schema(SPLIT_SCHEMA).parquet(stored).where(F.col("split") == split)
     if table.isEmpty():
         raise FileNotFoundError(f"no '{split}' rows under {path}")
     return table.drop("split")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelloom import settings
+from labelloom.sources import snapshots
 
 SCORES = ["accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_f1"]
 COSTS = ["training_time_s", "inference_time_s", "inference_ms_per_sample",
@@ -33,13 +35,21 @@ def as_result_rows(df: DataFrame) -> DataFrame:
         .cast(f.dataType).alias(f.name) for f in RESULT_SCHEMA])
 
 
-def append_results(df: DataFrame, path: str) -> None:
-    """Keep every run; readers choose with ``compare.latest_per_model``."""
-    as_result_rows(df).write.mode("append").parquet(path)
+def append_results(df: DataFrame, path: str, run_id: str | None = None) -> None:
+    """Keep every run; readers choose with ``compare.latest_per_model``.
+
+    A run has a folder of its own. With a ``run_id`` a repeated append of a run that is complete
+    adds nothing, and one that was broken off starts anew.
+    """
+    folder = f"{path}/run={run_id or uuid.uuid4().hex}"
+    spark = df.sparkSession
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        as_result_rows(df).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", True).parquet(folder)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RESULT_SCHEMA).parquet(path)
+    return spark.read.schema(RESULT_SCHEMA).option("recursiveFileLookup", True).parquet(path)
 
 
 def write_comparison(df: DataFrame, path: str) -> None:
@@ -47,15 +57,15 @@ def write_comparison(df: DataFrame, path: str) -> None:
 
 
 def write_length_stats(stats: DataFrame, lengths: DataFrame, path: str) -> None:
-    stats.write.mode("overwrite").parquet(f"{path}/summary")
-    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    """Replace both tables in one step."""
+    def write(to: str) -> None:
+        stats.write.parquet(f"{to}/summary")
+        lengths.write.parquet(f"{to}/lengths")
+
+    snapshots.replace(stats.sparkSession, path, write)
 
 
 def read_length_stats(spark: SparkSession, path: str) -> DataFrame | None:
     """The saved summary, or None when none was written (not an error)."""
-    try:
-        return spark.read.parquet(f"{path}/summary")
-    except AnalysisException as missing:
-        if missing.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    stored = snapshots.current(spark, path)
+    return None if stored is None else spark.read.parquet(f"{stored}/summary")
