@@ -109,7 +109,7 @@ class Phrases:
 def blocks(items: DataFrame, id_col: str, text_col: str, limit: int = BLOCK_BYTES) -> Iterator[list]:
     """The test items in pieces of about ``limit`` bytes, so that what is shipped to tasks has a bound."""
     held, size = [], 0
-    for row in items.select(id_col, F.col(text_col).cast("string")).toLocalIterator():
+    for row in items.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).toLocalIterator():
         held.append((row[0], row[1]))
         size += 64 + len((row[1] or "").encode())
         if size >= limit:

@@ -162,10 +162,13 @@ def fit(x: np.ndarray, y: np.ndarray, sign: np.ndarray, n_trees: int = 60, depth
 
 
 def train(stats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
-    """Fit on at most ``rows`` labelled rows (doc_id, quality), chosen by a hash of the id and so alike on every run."""
+    """Fit on at most ``rows`` labelled rows (doc_id, quality), chosen by a hash of the id and so alike on every run.
+
+    The bound holds for the joined rows: repeated ids on either side do not multiply what the driver receives.
+    """
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
-    sample = stats.join(picked, "doc_id").toPandas().sort_values(["doc_id", "quality"], kind="stable")
+    picked = stats.select("doc_id", *COUNTS).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *COUNTS).limit(rows)
+    sample = picked.toPandas().sort_values(["doc_id", "quality", *COUNTS], kind="stable")
     return fit(features({c: sample[c].to_numpy() for c in COUNTS}), sample["quality"].to_numpy(float), np.array(list(FEATURES.values())))
 
 
