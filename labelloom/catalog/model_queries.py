@@ -250,11 +250,12 @@ def score_new_text(t: Tables):
 
 @query("stream_score")
 def stream_score(t: Tables):
-    """The same scoring over the conversations table as a file stream into a Parquet sink."""
+    """The same scoring over the conversations table, a file or a folder of files, as a file stream into a Parquet sink."""
     scorer, _, _ = _scorer(t)
     base = f"{shared_dir(t.spark)}/stream-score-{uuid.uuid4().hex}"
-    stream = score_stream(t.spark, t.sf_dir, t.table("conversations").schema, scorer, f"{base}/rows",
-                          f"{base}/progress", keep=["conv_id", "turn"], pathGlobFilter="conversations.parquet")
+    # a pattern, since as a plain path the stream takes a folder of files alone
+    stream = score_stream(t.spark, t.path("{conversations}"), t.table("conversations").schema, scorer, f"{base}/rows",
+                          f"{base}/progress", keep=["conv_id", "turn"])
     stream.awaitTermination()
     return t.spark.read.parquet(f"{base}/rows").drop("text")
 

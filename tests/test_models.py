@@ -11,6 +11,8 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from labelloom import settings
+from labelloom.catalog import model_queries
+from labelloom.catalog.tables import Tables
 from labelloom.functions import arrays as ar
 from labelloom.operators import batched, compare, linear, metrics, neural
 from labelloom.plans import charts, experiment, preprocess
@@ -221,6 +223,22 @@ def test_a_joined_vocabulary_scores_repeated_rows_and_streams(spark, scorer, tmp
     assert key(spark.read.parquet(f"{tmp_path}/out")) == shipped
 
 
+def test_stream_queries_read_a_folder_of_files_and_a_single_file(spark, scorer, tmp_path, monkeypatch):
+    monkeypatch.setattr(model_queries, "_scorer", lambda t: (scorer[0], None, None))
+    turns = spark.createDataFrame([(i, j, "user", t) for i in range(6) for j, t in enumerate(["राम्रो", None, "नराम्रो https://x.y"])],
+                                  "conv_id bigint, turn bigint, role string, text string")
+    turns.repartition(3).write.parquet(f"{tmp_path}/folder/conversations.parquet")
+    turns.coalesce(1).write.parquet(f"{tmp_path}/one")
+    os.makedirs(f"{tmp_path}/file")
+    os.link(next((tmp_path / "one").glob("part-*.parquet")), f"{tmp_path}/file/conversations.parquet")
+    for form in ("folder", "file"):
+        t = Tables(spark, f"{tmp_path}/{form}")
+        streamed = model_queries.stream_score(t)
+        key = lambda d: sorted((r.conv_id, r.turn, r.pred, r.confidence) for r in d.collect())
+        assert key(streamed) == key(model_queries.score_new_text(t)) and streamed.count() == 18
+        assert [tuple(r)[2:] for r in model_queries.stream_coverage(t).collect()] == [(1, 1.0)] * 18
+
+
 def test_scoring_plan_is_map_only(spark, scorer):
     plan = scorer[0].score(spark.createDataFrame([("a",)], "text string"))
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
