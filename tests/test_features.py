@@ -101,6 +101,27 @@ def test_counting_moves_no_text(corpus):
     assert plan.count("Exchange") == 1 and "hashpartitioning(term" in plan
 
 
+def test_terms_are_dealt_by_the_bytes_of_text(spark, monkeypatch):
+    texts = ["aa bb aa", "bb cc", None, "", "aa  bb cc", "dd " * 40]
+    df = spark.createDataFrame([(i % 4, t) for i, t in enumerate(texts)], "row_id bigint, text string")
+    plain = sorted(map(tuple, tfidf.term_stats(df).collect()))
+    model = tfidf.fit(df)
+    weights = sorted(map(tuple, tfidf.weights_by_join(df, model).collect()))
+    monkeypatch.setattr(tfidf, "SLICE_TOKENS", 3)
+    monkeypatch.setattr(tfidf, "PARTITION_BYTES", 10)  # 142 bytes of text
+    assert tfidf.term_stats(df).rdd.getNumPartitions() == tfidf.term_counts(df).rdd.getNumPartitions() == 15
+    assert sorted(map(tuple, tfidf.term_stats(df).collect())) == plain
+    assert sorted(map(tuple, tfidf.weights_by_join(df, model).collect())) == weights
+
+
+def test_a_token_with_spaces_counts_with_the_ngram_it_equals(spark):
+    how = tfidf.Vectorizer((1, 2), r"[a-z]+(?: x)?")
+    df = spark.createDataFrame([(1, "a x, a, x"), (2, "x. a")], "row_id bigint, text string")
+    assert sorted(map(tuple, tfidf.term_stats(df, how).collect())) == [
+        ("a", 2, 2), ("a x", 2, 1), ("a x a", 1, 1), ("x", 2, 2), ("x a", 1, 1)]
+    assert {(r.row_id, r.term, r.tf) for r in tfidf.term_counts(df, how=how).collect() if r.term == "a x"} == {(1, "a x", 2)}
+
+
 @pytest.mark.parametrize("how", [tfidf.Vectorizer((1, 1)), tfidf.Vectorizer((1, 3), sublinear_tf=False),
                                  tfidf.Vectorizer((2, 2), chars.TOKEN_WITHOUT_DANDA)])
 def test_options(corpus, how):
