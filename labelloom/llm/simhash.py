@@ -8,6 +8,7 @@ fingerprint goes once to each key that any of its variants has, and the receivin
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -16,19 +17,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm import arrays, shared
-from labelloom.llm.buckets import bucket_links, small
+from labelloom.llm import arrays, lines, shared
+from labelloom.llm.arrays import majority
+from labelloom.llm.buckets import small
 from labelloom.llm.components import components
 
 SHINGLE_WORDS = 4
 RADIUS = 4
 HASH_SEED = 42
 BITS = 64
-#: Of the pipeline's near-dedup: words of a shingle, Jaccard similarity, and MinHashes in bands of so many.
+#: Of the pipeline's near-dedup: words of a shingle, Jaccard similarity, and pairs of 64-bit fingerprints that find candidates.
 KEEP_WORDS = 5
 SIMILARITY = 0.8
-BANDS, BAND_HASHES = 12, 3
-MULTIPLIERS = np.random.default_rng(HASH_SEED).integers(0, 1 << 63, BANDS * BAND_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PAIRS = 5
 #: Variants sorted at a time inside a task.
 TASK_VARIANTS = 1 << 21
 
@@ -46,25 +47,6 @@ def shingle_hashes(text: bytes, width: int = SHINGLE_WORDS) -> np.ndarray:
     return np.array([digest(joined[a:b], HASH_SEED) for a, b in zip(starts, (ends[width - 1:] - 1).tolist())], np.uint64)
 
 
-def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One fingerprint per segment: a bit is 1 if more than half of the segment's hashes have it."""
-    n = np.diff(first)
-    out = np.zeros(len(n), np.uint64)
-    if not len(hashes):
-        return out
-    # sixteen running sums of four 16-bit counters; segments are cut so that no counter overflows
-    cuts = np.unique(np.concatenate([first, np.arange(0, len(hashes), 32768)]))
-    cuts = cuts[cuts < len(hashes)]
-    into = np.searchsorted(first, cuts, "right") - 1
-    for j in range(16):
-        lanes = np.add.reduceat((hashes >> np.uint64(j)) & np.uint64(0x0001000100010001), cuts)
-        for k in range(4):
-            ones = np.zeros(len(n), np.int64)
-            np.add.at(ones, into, ((lanes >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.int64))
-            out |= (2 * ones > n).astype(np.uint64) << np.uint64(16 * k + j)
-    return out
-
-
 def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp bigint) of every row; a text without words has fingerprint 0."""
     def run(batches):
@@ -203,43 +185,59 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_
     return fps.join(named, fps.fp == named.f).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _keys(hashes: np.ndarray) -> np.ndarray:
-    """BANDS keys of a set of shingle hashes, each made of BAND_HASHES MinHashes."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    low = np.array([(hashes * m).min() for m in MULTIPLIERS], np.uint64).reshape(BANDS, BAND_HASHES)
-    return np.array([xxhash.xxh64_intdigest(bytes([i]) + row.tobytes(), HASH_SEED) for i, row in enumerate(low)], np.uint64).view(np.int64)
+def wide_fingerprints(texts: DataFrame, width: int, pairs: int = PAIRS) -> DataFrame:
+    """(id, n_chars, f1, f2 ...) of every row of (id, text): the number of different shingles and SimHash fingerprints of their set."""
+    names = [f"f{k}" for k in range(1, 2 * pairs + 1)]
 
-
-def shingle_sets(texts: DataFrame, width: int, keys: bool) -> DataFrame:
-    """(id, size, sketch) of every row of (id, text): the band keys of its set of shingles, or the sorted set itself."""
     def run(batches):
         for rows, buf, off in arrays.chunks(batches):
             raw = buf.tobytes()
             sets = [np.unique(shingle_hashes(raw[a:b], width)) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
-            out = [_keys(h) if keys else h.view(np.int64) for h in sets]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["id", "size", "sketch"])
-    return shared.texts(texts, "id").mapInArrow(run, "id bigint, size bigint, sketch array<bigint>")
+            first = np.concatenate([[0], np.cumsum([len(h) for h in sets])]).astype(np.int64)
+            hashes = np.concatenate(sets)
+            prints = []
+            for _ in names:
+                prints.append(pa.array(majority(hashes, first).view(np.int64)))
+                hashes = arrays.mix(hashes ^ np.uint64(HASH_SEED))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(first)), *prints], ["id", "n_chars", *names])
+    return shared.texts(texts, "id").mapInArrow(run, "id bigint, n_chars bigint, " + ", ".join(f"{n} bigint" for n in names))
+
+
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(id, sketch) of every row of (id, text): its sorted set of shingle hashes."""
+    def run(batches):
+        for rows, buf, off in arrays.chunks(batches):
+            raw = buf.tobytes()
+            sets = [np.unique(shingle_hashes(raw[a:b], width)).view(np.int64) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "sketch"])
+    return shared.texts(texts, "id").mapInArrow(run, "id bigint, sketch array<bigint>")
+
+
+def bits_apart(similarity: float) -> int:
+    """Bits of a pair of fingerprints in which sets of this Jaccard similarity or more differ at most: four deviations above the mean."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(2 * BITS * p + 4 * math.sqrt(2 * BITS * p * (1 - p)))
 
 
 def similar_texts(docs: DataFrame, width: int = KEEP_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) for every row of (doc_id, text).
 
-    Texts are linked if the Jaccard similarity of their sets of ``width``-word shingles reaches ``similarity``; texts of
-    that similarity share a band of MinHashes with probability 0.9998, and every link is verified on the sets.
+    Texts are linked if the Jaccard similarity of their sets of ``width``-word shingles reaches ``similarity``. SimHash
+    finds the candidates: texts that agree in two blocks of one of their fingerprints and lie within ``bits_apart`` in
+    that pair of fingerprints (see ``lines``); the sets then verify every link.
     component_id is the smallest doc_id of the connected group.
     """
     rows = shared.texts(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("id", F.xxhash64("text"))
     owners = shared.materialise(rows.groupBy("id").agg(F.min("doc_id").alias("low")))
-    sketches = shared.materialise(shingle_sets(rows.select("id", "text"), width, True).dropDuplicates(["id"]))
+    prints = shared.materialise(wide_fingerprints(rows.select("id", "text"), width).dropDuplicates(["id"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = shared.materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        sets = shared.materialise(shingle_sets(rows.join(small(ids), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), width, False))
+        sets = shared.materialise(shingle_sets(rows.join(small(ids), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), width))
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         return both.where(common >= (F.size("x") + F.size("y") - common) * F.lit(similarity - 1e-9)).select("a", "b")
-    found = bucket_links(sketches, verify, lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(similarity - 1e-9))
+    found = lines.linked(prints.where("n_chars > 0").withColumn("label", F.col("id")), verify, PAIRS, bits_apart(similarity), similarity)
     roots = components(found)
     rooted = owners.join(roots, owners.id == roots.node, "left").select("id", "low", F.coalesce("root", "id").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))

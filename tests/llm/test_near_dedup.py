@@ -55,3 +55,15 @@ def test_near_dedup_equals_brute_force_jaccard(docs):
     got = {r.doc_id: r.component_id for r in simhash.similar_texts(docs(rows)).collect()}
     assert got == dict(enumerate(up)) and 12 <= len(set(up)) < len(rows)
     assert {r.doc_id for r in simhash.keep_one(docs(rows)).collect()} == set(up)
+
+
+def test_candidates_come_from_simhash_fingerprints(spark, docs, monkeypatch):
+    text = " ".join(f"w{k}" for k in range(40))
+    row = simhash.wide_fingerprints(spark.createDataFrame([(1, text)], "id bigint, text string"), 5).first()
+    held = {int(h) for h in simhash.shingle_hashes(text.encode(), 5)}
+    assert row.n_chars == len(held) == 36
+    assert row.f1 % 2 ** 64 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in held) > len(held))
+    rows = [(1, text), (2, text + " x"), (3, "y " + text), (4, " ".join(f"v{k}" for k in range(40)))]
+    assert {r.doc_id: r.component_id for r in simhash.similar_texts(docs(rows)).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    monkeypatch.setattr(simhash, "bits_apart", lambda similarity: -1)
+    assert {r.component_id for r in simhash.similar_texts(docs(rows)).collect()} == {1, 2, 3, 4}
