@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.llm import arrays, shared
+from labelloom.llm import arrays, buckets, shared
 from labelloom.session import shared_dir
 
 MIN_COUNT = 100
@@ -147,23 +147,27 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     in their language, and the number of words of each language."""
     own = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"))
     spark = docs.sparkSession
-    buckets = shared.partitions(spark, shared.text_bytes(own), BUCKET_BYTES)
-    relation, out = Relation(single_words(own), buckets, moved=True), None
+    parts = shared.partitions(spark, shared.text_bytes(own), BUCKET_BYTES)
+    relation, out = Relation(single_words(own), parts, moved=True), None
     shared.free_shuffles(spark)
     totals = shared.materialise(relation.rows.groupBy("lang").agg(F.sum("n").alias("n")))
     for k in range(1, max_words + 1):
         entries = relation.rows.select("block", "lang", F.posexplode(F.arrays_zip("phrases", "counts")).alias("code", "e")).select("block", "lang", "code", F.col("e.phrases").alias("phrase"), F.col("e.counts").alias("n"))
-        level = shared.materialise(entries.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count).withColumn("words", F.lit(k)))
+        # counted by 32 bits of hash first: a sum below min_count rules out all its phrases, so only the others' strings are sent
+        entries = entries.withColumn("h", F.hash("lang", "phrase"))
+        likely = shared.materialise(entries.groupBy("h").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count).select("h"))
+        likely = entries.join(buckets.small(likely), "h", "left_semi")
+        level = shared.materialise(likely.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count).withColumn("words", F.lit(k)))
         out = level if out is None else out.union(level)
         if k == max_words or level.isEmpty():
             break
         # collect_list leaves nulls out: the codes of infrequent phrases
         known = small(level).select("lang", "phrase", F.lit(True).alias("known"))
         found = entries.join(known, ["lang", "phrase"], "left").groupBy("block").agg(F.collect_list(F.when(F.col("known"), F.col("code"))).alias("good"))
-        longer = Relation(extended(relation.rows, found, k), buckets)
+        longer = Relation(extended(relation.rows, found, k), parts)
         relation.drop()
         relation = longer
-        del entries, known, found
+        del entries, likely, known, found
         shared.free_shuffles(spark)
     relation.drop()
     return out, totals

@@ -73,3 +73,15 @@ def test_tables_equal_plain_counts(spark, sf):
     rows = [(r.text, r.lang) for r in docs.collect()]
     assert sorted(tuple(r) for r in collocations.collocations(docs).collect()) == brute(rows, 100)
     assert not spark.catalog.listTables()
+
+
+def test_only_hashes_of_rare_phrases_are_sent(spark, monkeypatch):
+    """Phrase strings are grouped only where their hash is frequent; colliding rare phrases are told apart by their strings."""
+    rows = [(f"rare{k} one two", "en") for k in range(300)]
+    want = brute(rows, 50)
+    sent, before = [], collocations.buckets.small
+    monkeypatch.setattr(collocations.buckets, "small", lambda df: sent.append(df.count()) or before(df))
+    assert got(spark, rows, 50) == want
+    assert sent and max(sent) <= 4
+    monkeypatch.setattr(collocations.F, "hash", lambda *c: collocations.F.lit(7))
+    assert got(spark, rows, 50) == want
