@@ -237,7 +237,8 @@ def similar_texts(docs: DataFrame, width: int = KEEP_WORDS, similarity: float =
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         return both.where(common >= (F.size("x") + F.size("y") - common) * F.lit(similarity - 1e-9)).select("a", "b")
-    found = lines.linked(prints.where("n_chars > 0").withColumn("label", F.col("id")), verify, PAIRS, bits_apart(similarity), similarity)
+    groups = [[f"f{k}", f"f{k + 1}"] for k in range(1, 2 * PAIRS + 1, 2)]
+    found = lines.linked(prints.where("n_chars > 0").select("id", "n_chars", F.lit(0).alias("kind"), F.col("id").alias("label"), *sum(groups, [])), verify, groups, bits_apart(similarity), similarity)
     roots = components(found)
     rooted = owners.join(roots, owners.id == roots.node, "left").select("id", "low", F.coalesce("root", "id").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
