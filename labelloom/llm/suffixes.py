@@ -31,9 +31,12 @@ PERIOD = 91
 COVER = np.array([0, 1, 3, 9, 27, 49, 56, 61, 77, 81])
 #: Bytes kept of a cover string's hash, besides its bucket, to find out whether it repeats.
 SAMPLE_BYTES = 5
-#: Bytes whose hashes choose a suffix's bucket.
-GRAM = 8
+#: Bytes whose hashes choose a suffix's bucket: so many that no run of them is common in a language, else its bucket would
+#: hold as large a share of all suffixes whatever the number of buckets.
+GRAM = 32
 SUB = 8
+#: Bytes of text of which a task makes keys at a time, and suffixes of a bucket that it sorts at a time.
+KEY_BYTES, SORT_ROWS = 4 << 20, 1 << 21
 
 IN_COVER = np.zeros(PERIOD, bool)
 IN_COVER[COVER] = True
@@ -74,6 +77,12 @@ def pack(docs: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
+def suffix_buckets(sums: np.ndarray, start: np.ndarray, length: int, buckets: int) -> np.ndarray:
+    """The bucket of each suffix by its content: the smallest hash of GRAM bytes within ``length``."""
+    at = np.arange(len(sums) - GRAM)
+    return (smallest(arrays.BYTES.span(sums, at, at + GRAM), length - GRAM + 1)[start] % np.uint64(buckets)).astype(np.int64)
+
+
 def unpack(off: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), np.frombuffer(off, np.int64)
 
@@ -173,8 +182,7 @@ def _suffix_repeats(blocks: DataFrame, seen: DataFrame, parts: int, length: int,
                 out = [(-1 - block % tasks, block, x.tolist(), y.tolist(), None)] if len(x) else []
                 start = start[~again]
                 doc = np.searchsorted(off, start, "right") - 1
-                gram = arrays.mix(np.ndarray(len(buf) - GRAM + 1, "<u8", buf.tobytes(), strides=(1,)))
-                bucket = (smallest(gram, length - GRAM + 1)[start] % np.uint64(buckets)).astype(np.int64)
+                bucket = suffix_buckets(sums, start, length, buckets)
                 head = np.ones(len(start), bool)
                 head[1:] = (start[1:] != start[:-1] + 1) | (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])
                 i = np.flatnonzero(head)
@@ -195,8 +203,8 @@ def _suffix_repeats(blocks: DataFrame, seen: DataFrame, parts: int, length: int,
                 kinds = (pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["bucket", "block", "starts", "ends", "data"])
 
-    def sort_bucket(blobs):
-        """(block, start) of all strings of the bucket that have an equal one."""
+    def keys(blobs):
+        """(runs, ranks, key of every suffix) of some packed runs: a hash of its first and its last bytes."""
         runs, ranks, text = [], [], []
         for raw in blobs:
             k, r = np.frombuffer(raw, np.int64, 2).tolist()
@@ -205,47 +213,62 @@ def _suffix_repeats(blocks: DataFrame, seen: DataFrame, parts: int, length: int,
             text.append(np.frombuffer(raw, np.uint8, -1, 16 + k * RUN.itemsize + 4 * r))
         runs, ranks, text = map(np.concatenate, (runs, ranks, text))
         n = runs["n"].astype(np.int64)
-        begin = np.cumsum(n + length - 1) - (n + length - 1)
-        r = np.repeat(np.arange(len(runs)), n)
-        k = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
-        at = begin[r] + k
+        at = np.arange(n.sum()) + np.repeat(np.arange(len(n)) * (length - 1), n)
         sums = arrays.BYTES.sums(arrays.BYTES.symbols[text])
         ends = arrays.BYTES.span(sums, at + length - PERIOD, at + length)
-        key = arrays.mix(arrays.BYTES.span(sums, at, at + PERIOD) + arrays.mix(ends + np.uint64(1)))
-        order = np.argsort(key)
-        same = key[order[1:]] == key[order[:-1]]
-        tied = np.zeros(len(key), bool)
-        tied[order[1:][same]] = True
-        tied[order[:-1][same]] = True
-        left = order[tied[order]]  # in key order
-        local = runs["local"].astype(np.int64)
+        return runs, ranks, arrays.mix(arrays.BYTES.span(sums, at, at + PERIOD) + arrays.mix(ends + np.uint64(1)))
+
+    def sort_bucket(blobs):
+        """(block, starts) of each blob's strings that have an equal one in the bucket.
+
+        Beside the texts, 8 bytes of key stay in memory for a suffix; the rest is made for KEY_BYTES or SORT_ROWS at a time.
+        """
+        begin = np.cumsum([0] + [len(x) for x in blobs]) // KEY_BYTES
+        edge = np.flatnonzero(np.diff(begin[:-1], prepend=-1)).tolist()
+        made = [keys(blobs[a:c]) for a, c in zip(edge, [*edge[1:], len(blobs)])]
+        runs, ranks, key = map(np.concatenate, zip(*made))
+        del made
+        n, local = runs["n"].astype(np.int64), runs["local"].astype(np.int64)
+        first = np.cumsum(n) - n
         counts = covers_below(local + n - 1 + PERIOD) - covers_below(local)
         base = np.cumsum(counts) - counts - covers_below(local)
-        pos = local[r] + k
         equal = np.zeros(len(key), bool)
-        while len(left):  # one turn per distinct string that shares its first and last v bytes with others
-            g = np.ones(len(left), bool)
-            g[1:] = key[left[1:]] != key[left[:-1]]
-            first = left[np.maximum.accumulate(np.where(g, np.arange(len(left)), 0))]
-            d = OFFSET[pos[left] % PERIOD, pos[first] % PERIOD]
-            match = ranks[base[r[left]] + covers_below(pos[left] + d)] == ranks[base[r[first]] + covers_below(pos[first] + d)]
-            hit = match & ~g
-            equal[left[hit]] = True
-            equal[first[hit]] = True
-            left = left[~match]
-        return runs["block"][r[equal]], runs["at"][r[equal]] + k[equal]
+        slices = -(-len(key) // SORT_ROWS)
+        for j in range(slices):
+            mine = np.flatnonzero(key % np.uint64(slices) == j)
+            order = mine[np.argsort(key[mine])]
+            same = key[order[1:]] == key[order[:-1]]
+            tied = np.zeros(len(order), bool)
+            tied[1:][same] = True
+            tied[:-1][same] = True
+            left = order[tied]  # in key order
+            run = np.searchsorted(first, left, "right") - 1
+            pos, at = local[run] + left - first[run], base[run]
+            while len(left):  # one turn per distinct string that shares its first and last v bytes with others
+                g = np.ones(len(left), bool)
+                g[1:] = key[left[1:]] != key[left[:-1]]
+                lead = np.maximum.accumulate(np.where(g, np.arange(len(left)), 0))
+                d = OFFSET[pos % PERIOD, pos[lead] % PERIOD]
+                match = ranks[at + covers_below(pos + d)] == ranks[at[lead] + covers_below(pos[lead] + d)]
+                hit = match & ~g
+                equal[left[hit]] = True
+                equal[left[lead[hit]]] = True
+                left, pos, at = left[~match], pos[~match], at[~match]
+        of = np.cumsum([0] + [int(np.frombuffer(x, np.int64, 1)[0]) for x in blobs])  # a blob's runs are in order of their starts
+        for a, c in zip(of[:-1].tolist(), of[1:].tolist()):
+            found = first[a] + np.flatnonzero(equal[first[a]:first[c - 1] + n[c - 1]])
+            run = np.searchsorted(first, found, "right") - 1
+            if len(found):
+                yield int(runs["block"][a]), runs["at"][run] + found - first[run]
 
     def gather(batches):
         held, bucket = [], None
 
         def flush():
-            block, start = sort_bucket(held)
-            by = np.lexsort((start, block))
-            block, start, rows = block[by], start[by], []
-            edge = np.flatnonzero(np.diff(block, prepend=-1))
-            for a, c in zip(edge, np.append(edge[1:], len(block))):
-                x, y = intervals(start[a:c], length)
-                rows.append((int(block[a]), x.tolist(), y.tolist()))
+            rows = []
+            for block, start in sort_bucket(held):
+                x, y = intervals(start, length)
+                rows.append((block, x.tolist(), y.tolist()))
             return [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())))], ["block", "starts", "ends"])] if rows else []
 
         for batch in batches:

@@ -111,6 +111,23 @@ def test_bytes_over_many_blocks(docs, monkeypatch):
     assert rows_of(got, *BYTES) == strings(rows)
 
 
+def test_bytes_in_parts_of_a_bucket(docs, monkeypatch):
+    for name, n in (("BLOCK_BYTES", 1500), ("KEY_BYTES", 700), ("SORT_ROWS", 60)):
+        monkeypatch.setattr(suffixes, name, n)
+    rows = passage_rows(120, 8) + [(500 + k, "ab" * 300) for k in range(4)]
+    assert rows_of(suffixes.dedup_bytes(docs(rows)), *BYTES) == strings(rows)
+
+
+def test_no_bucket_holds_a_share_of_a_language():
+    rng = random.Random(5)
+    often = ["the", "of", "and", "thing", "ation", "er", "on"]
+    text = " ".join("".join(rng.choices(often, k=rng.randrange(1, 4))) for _ in range(150_000)).encode()
+    buf = np.frombuffer(text, np.uint8)
+    sums = arrays.BYTES.sums(arrays.BYTES.symbols[buf])
+    held = np.bincount(suffixes.suffix_buckets(sums, np.arange(len(buf) - 199), 200, 1000), minlength=1000)
+    assert held.max() < 8 * held.mean()
+
+
 def test_bytes_query(spark, sf, corpus_rows):
     got = rows_of(queries.op9_suffixes(spark, sf), *BYTES)
     assert got == strings(corpus_rows)
