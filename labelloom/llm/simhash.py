@@ -30,6 +30,8 @@ BITS = 64
 KEEP_WORDS = 5
 SIMILARITY = 0.8
 PAIRS = 5
+#: Counters by which shingles are put in order, and tables of them that are added separately.
+COUNTERS, TABLES = 1 << 18, 64
 #: Variants sorted at a time inside a task.
 TASK_VARIANTS = 1 << 21
 
@@ -219,17 +221,92 @@ def bits_apart(similarity: float) -> int:
     return math.ceil(2 * BITS * p + 4 * math.sqrt(2 * BITS * p * (1 - p)))
 
 
-def similar_texts(docs: DataFrame, width: int = KEEP_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) for every row of (doc_id, text).
+def shingle_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """About how often each shingle occurs in (id, text): COUNTERS sums, each of the shingles with one remainder."""
+    def count(batches):
+        n = np.zeros(COUNTERS, np.int64)
+        for _, buf, off in arrays.chunks(batches):
+            raw = buf.tobytes()
+            hashes = np.concatenate([shingle_hashes(raw[a:b], width) for a, b in zip(off[:-1].tolist(), off[1:].tolist())])
+            n += np.bincount((hashes % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(TABLES), pa.int64()), pa.array([x.tobytes() for x in n.reshape(TABLES, -1)], pa.binary())], ["part", "rows"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, rows in zip(batch.column("part").to_pylist(), batch.column("rows")):
+                sums[k] = sums.get(k, 0) + np.frombuffer(rows.as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "rows"])
+
+    total = np.zeros((TABLES, COUNTERS // TABLES), np.int64)
+    for r in shared.texts(texts, "id").mapInArrow(count, "part bigint, rows binary").repartition("part").mapInArrow(add, "part bigint, rows binary").collect():
+        total[r.part] += np.frombuffer(r.rows, np.int64)
+    return total.ravel()
 
-    Texts are linked if the Jaccard similarity of their sets of ``width``-word shingles reaches ``similarity``. SimHash
-    finds the candidates: texts that agree in two blocks of one of their fingerprints and lie within ``bits_apart`` in
-    that pair of fingerprints (see ``lines``); the sets then verify every link.
-    component_id is the smallest doc_id of the connected group.
+
+def prefix_pairs(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b) pairs of ids of (id, text, label) with different labels: among them all whose sets of shingles reach ``similarity``.
+
+    Sets that alike share one of the first shingles of each, in any order of all shingles; rare ones come first here. What
+    follows the shared shingle must be able to reach the similarity too.
     """
+    spark = texts.sparkSession
+    order = spark.sparkContext.broadcast(shingle_counts(texts, width))
+    row = np.dtype([("token", "<u8"), ("id", "<i8"), ("label", "<i8"), ("n", "<i4"), ("at", "<i4")])
+    size = int(shared.text_bytes(texts) * (1 - similarity) * row.itemsize / width) + 1  # a word has about ``width`` bytes
+    parts = -(-size // lines.PART_BYTES)
+
+    def scatter(batches):
+        for rows, buf, off in arrays.chunks(batches):
+            raw, label, held = buf.tobytes(), rows.column("label").to_numpy(), {}
+            for i, (d, a, b) in enumerate(zip(rows.column("doc_id").to_pylist(), off[:-1].tolist(), off[1:].tolist())):
+                if d in held or a == b:
+                    continue
+                h = np.unique(shingle_hashes(raw[a:b], width))
+                h = h[np.argsort(order.value[(h % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")]
+                first = h[:len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+                out = np.empty(len(first), row)
+                out["token"], out["id"], out["label"], out["n"], out["at"] = first, d, label[i], len(h), np.arange(len(first))
+                held[d] = out
+            if held:
+                out = np.concatenate(list(held.values()))
+                yield arrays.deal((arrays.mix(out["token"]) % np.uint64(parts)).astype(np.int64), out)
+
+    def gather(batches):
+        for rows in arrays.dealt(batches, row):
+            rows = rows[np.lexsort((rows["n"], rows["token"]))]
+            begin = np.flatnonzero(np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]]))
+            mixed = np.minimum.reduceat(rows["label"], begin) != np.maximum.reduceat(rows["label"], begin)
+            rows = rows[np.repeat(mixed, np.diff(np.append(begin, len(rows))))]
+            if not len(rows):
+                continue
+            token, n, rest, label, ids = rows["token"], rows["n"].astype(np.int64), (rows["n"] - rows["at"]).astype(np.int64), rows["label"], rows["id"]
+            key = (np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])) << 32) + n
+            reach = np.searchsorted(key, (key >> 32 << 32) + np.floor(n / similarity + 1e-6).astype(np.int64), "right") - np.arange(len(n))
+            d, at, held, n_held = 1, np.flatnonzero(reach > 1), [], 0
+            while len(at):
+                able = np.minimum(rest[at], rest[at + d]) >= similarity / (1 + similarity) * (n[at] + n[at + d]) - 1e-6
+                p = at[able & (label[at] != label[at + d])]
+                held.append(np.stack([np.minimum(ids[p], ids[p + d]), np.maximum(ids[p], ids[p + d])], 1))
+                n_held += len(p)
+                d += 1
+                at = at[reach[at] > d]
+                if n_held > lines.TASK_PAIRS or not len(at):
+                    pairs = np.unique(np.concatenate(held), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                    held, n_held = [], 0
+
+    sent = texts.select(F.col("id").alias("doc_id"), "text", "label").mapInArrow(scatter, "part bigint, rows binary")
+    return sent.repartition(shared.partitions(spark, size), "part").sortWithinPartitions("part").mapInArrow(gather, "a bigint, b bigint").distinct()
+
+
+def _grouped(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(doc_id, id, component_id, keep_id) of every row: a hash of its text, the smallest doc_id of its group, and a text of that one."""
     rows = shared.texts(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("id", F.xxhash64("text"))
     owners = shared.materialise(rows.groupBy("id").agg(F.min("doc_id").alias("low")))
     prints = shared.materialise(wide_fingerprints(rows.select("id", "text"), width).dropDuplicates(["id"]))
+    groups = [[f"f{k}", f"f{k + 1}"] for k in range(1, 2 * PAIRS + 1, 2)]
+    names, most = sum(groups, []), bits_apart(similarity)
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = shared.materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
@@ -237,16 +314,41 @@ def similar_texts(docs: DataFrame, width: int = KEEP_WORDS, similarity: float =
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         return both.where(common >= (F.size("x") + F.size("y") - common) * F.lit(similarity - 1e-9)).select("a", "b")
-    groups = [[f"f{k}", f"f{k + 1}"] for k in range(1, 2 * PAIRS + 1, 2)]
-    found = lines.linked(prints.where("n_chars > 0").select("id", "n_chars", F.lit(0).alias("kind"), F.col("id").alias("label"), *sum(groups, [])), verify, groups, bits_apart(similarity), similarity)
-    roots = components(found)
+
+    found = lines.linked(prints.where("n_chars > 0").select("id", "n_chars", F.lit(0).alias("kind"), F.col("id").alias("label"), *names), verify, groups, most, similarity)
+    # what no block shows: pairs that share a rare shingle and are within the same bits
+    roots = shared.materialise(components(found))
+    pairs = shared.materialise(prefix_pairs(rows.join(small(roots), rows.id == roots.node, "left").select("id", "text", F.coalesce("root", "id").alias("label")), width, similarity))
+    for c in "ab":
+        pairs = pairs.join(prints.select(F.col("id").alias(c), *[F.col(f).alias(f"{c}{f}") for f in names]), c)
+    near = [F.bit_count(F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}"))) + F.bit_count(F.col(f"a{g}").bitwiseXOR(F.col(f"b{g}"))) for f, g in groups]
+    further = shared.materialise(verify(shared.materialise(pairs.where(F.least(*near) <= most).select("a", "b"))))
+    # texts without words are alike
+    none = prints.where("n_chars = 0").select("id")
+    empty = none.join(F.broadcast(none.agg(F.min("id").alias("a"))), F.col("id") != F.col("a")).select("a", F.col("id").alias("b"))
+    roots = components(found.union(further).union(empty))
     rooted = owners.join(roots, owners.id == roots.node, "left").select("id", "low", F.coalesce("root", "id").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = shared.materialise(rooted.join(lows, "root").select(F.col("id").alias("i"), "component_id"))
-    return rows.select("doc_id", "id").join(named, F.col("id") == F.col("i")).select("doc_id", "component_id")
+    lows = rooted.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "id")).alias("first"))
+    named = shared.materialise(rooted.join(lows, "root").select(F.col("id").alias("i"), F.col("first.low").alias("component_id"), F.col("first.id").alias("keep_id")))
+    return rows.select("doc_id", "id").join(named, F.col("id") == F.col("i")).select("doc_id", "id", "component_id", "keep_id")
+
+
+def similar_texts(docs: DataFrame, width: int = KEEP_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) for every row of (doc_id, text).
+
+    Texts are linked if the Jaccard similarity of their sets of ``width``-word shingles reaches ``similarity``; texts without
+    words are alike. SimHash says which are candidates: texts within ``bits_apart`` in one of the pairs of fingerprints. Those
+    that agree in two blocks of one fingerprint are found by ``lines``, the others by the rare shingles that they share; the
+    sets then verify every link. component_id is the smallest doc_id of the connected group.
+    """
+    return _grouped(docs, width, similarity).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of one document of each group of similar texts: the one with the smallest doc_id."""
-    keep = similar_texts(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
+    """The rows of one document of each group of similar texts: the one with the smallest doc_id, and of its texts in the
+    group the one with the smallest hash. Rows alike in doc_id and text are one document; another text under the same doc_id
+    is judged by its own group."""
+    keep = _grouped(docs, KEEP_WORDS, SIMILARITY).where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("id") == F.col("keep_id")))
+    keep = keep.select(F.col("doc_id").alias("kept_doc"), F.col("id").alias("kept_text")).distinct()
+    text = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(keep, docs["doc_id"].cast("bigint").eqNullSafe(keep["kept_doc"]) & (text == keep["kept_text"]), "left_semi")

@@ -67,3 +67,22 @@ def test_candidates_come_from_simhash_fingerprints(spark, docs, monkeypatch):
     assert {r.doc_id: r.component_id for r in simhash.similar_texts(docs(rows)).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
     monkeypatch.setattr(simhash, "bits_apart", lambda similarity: -1)
     assert {r.component_id for r in simhash.similar_texts(docs(rows)).collect()} == {1, 2, 3, 4}
+
+
+def test_candidates_without_a_common_block_are_found(docs, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(30):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(9, 60))]
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[:len(w) - (len(w) - 4) // 5]))]
+    monkeypatch.setattr(simhash.lines, "meet", lambda lines, *_: lines.sparkSession.createDataFrame([], "a bigint, b bigint, bucket bigint"))
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(docs(rows)).collect()}
+    assert got == jaccard_groups(rows) == {k: k - k % 2 for k in range(60)}
+
+
+def test_texts_without_words_and_repeated_ids(docs):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, ""), (2, "  "), (3, None), (4, "\n"), (5, text), (7, "other words stand here and stay"), (7, text + " x"), (None, text), (None, "a row without an id that is alone"), (9, text), (5, "y " + text)]
+    kept = sorted((r.doc_id or 0, len(r.text or "")) for r in simhash.keep_one(docs(rows)).collect())
+    one = [(d, n) for d, n in kept if d == 5]
+    assert len(one) == 1 and [k for k in kept if k[0] != 5] == [(0, 33), (1, 0), (7, 31)]
